@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def bases(col: Column) -> Column:
     """The letters of a sequence field in upper case; everything else is layout. Null stays null; a field without letters gives ''."""
     up = F.upper(col)
-    return F.when(up.rlike("^[A-Z]*$"), up).otherwise(F.regexp_replace(up, r"[^\p{L}]+", ""))
+    # \\z and not $, which also matches before a line break at the end.
+    return F.when(up.rlike(r"^[A-Z]*\z"), up).otherwise(F.regexp_replace(up, r"[^\p{L}]+", ""))
 
 
 def header_field(col: Column, name: str) -> Column:
