@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.cluster import write_table
 from readloom.functions.text import bases, header_field
-from readloom.llm import duplicates, frequent, similar, spans, terms
+from readloom.llm import duplicates, frequent, leaks, mojibake, packing, similar, spans, terms
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,37 @@ def p6_levels(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_levels(table(spark, d, "clustering"), "clustering_id", bases(F.col("sequence")), 50).withColumnRenamed("id", "clustering_id")
 
 
+#: Tokens of a training window.
+WINDOW = 2048
+
+
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Where each text, or each piece of one larger than a window, lies in which window."""
+    return packing.pack_windows(write_table(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), "tokens"), WINDOW).withColumnRenamed("id", "doc_id")
+
+
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d).where("exact_words >= 13").select("doc_id", "item_id")
+
+
+def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages in which single words were replaced, with the length of the overlap."""
+    return _p9(spark, d)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled texts with what could be restored, and which encodings were confused."""
+    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
