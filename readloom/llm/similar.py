@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from readloom.cluster import write_table
 from readloom.llm.components import connected_components
 from readloom.llm.duplicates import fold_copies
-from readloom.llm.windows import concat, mix, window_hashes, window_starts
-
-#: Bits of a leaf's and a node's bitmap.
-BITS = 512
+from readloom.llm.windows import concat, distinct, mix, window_hashes, window_starts
+
+#: Bits of a bitmap. Bitmaps are sparse: a record sets a few hundred of them.
+BITS = 1 << 16
+#: A bit that more than one in so many nodes have is frequent: it is bounded and not counted.
+FREQUENT = 32
+#: Nodes traversed against a whole tree at once.
+BUNCH = 64
 SEPARATOR = "\0"
 #: A word set's elements are 44-bit hashes; the rest of 64 bits numbers the set within a block.
 _WORD = np.uint64(44)
@@ -31,90 +35,99 @@ class Tree:
     leaves that look alike, as the OR of their bitmaps, the range of their sizes and their largest surplus; a record
     without a lookalike is a node alone. Two sets x and y share at most popcount(X & Y) + surplus(x) words, and so do
     all sets below two nodes, with the OR of the bitmaps and the largest surplus.
+
+    The nodes' bitmaps are kept as lists of set bits and, the other way, as the nodes that have each bit; so the
+    popcounts of one node's bitmap with those of a whole tree take as many additions as they sum up to.
     """
 
     def __init__(self, ids: np.ndarray, texts: list[str], width: int):
-        self.ids = ids
+        self.ids, n = ids, len(ids)
         codes, ends = concat(texts)
         starts, owner = window_starts(ends, width)
         words = window_hashes(codes, width)[starts] >> np.uint64(20) if len(starts) else np.zeros(0, np.uint64)
-        both = np.unique((owner.astype(np.uint64) << _WORD) | words)
+        both = distinct((owner.astype(np.uint64) << _WORD) | words)
         self.words, of = both & _LOW, (both >> _WORD).astype(np.int64)
-        self.size = np.bincount(of, minlength=len(ids)).astype(np.float32)
-        self.first = np.concatenate([[0], np.cumsum(self.size).astype(np.int64)])
-        self.bits = np.zeros((len(ids), BITS), np.bool_)
-        self.bits[of, (mix(self.words) & np.uint64(BITS - 1)).astype(np.int64)] = True
-        self.surplus = self.size - self.bits.sum(1)
-        self._nodes()
+        self.size = np.bincount(of, minlength=n)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        # neighbours that share most of their words are put below one node
+        back = (both - (np.uint64(1) << _WORD))[of > 0]
+        at = np.minimum(np.searchsorted(both, back), max(len(both) - 1, 0))
+        shared = np.bincount(of[of > 0], weights=both[at] == back, minlength=n) if len(both) else np.zeros(n)
+        near = np.zeros(n, bool)
+        near[1:] = shared[1:] >= 0.8 * np.minimum(self.size[1:], self.size[:-1])
+        start = np.flatnonzero(~near)
+        lead = np.repeat(start, np.diff(np.append(start, n)))
+        self.start = np.append(np.flatnonzero(~near | ((np.arange(n) - lead) % 8 == 0)), n)
+        self.n_nodes = len(self.start) - 1
+        node = np.repeat(np.arange(self.n_nodes), np.diff(self.start))
+        bit = (mix(self.words) & np.uint64(BITS - 1)).astype(np.int64)
+        leaf_bits = distinct(of * BITS + bit)
+        surplus = self.size - np.bincount(leaf_bits // BITS, minlength=n)
+        pairs = distinct(node[leaf_bits // BITS] * BITS + leaf_bits % BITS)
+        self.bit, self.of = pairs % BITS, pairs // BITS
+        self.bits_from = np.searchsorted(self.of, np.arange(self.n_nodes + 1))
+        order = np.argsort(self.bit.astype(np.uint16), kind="stable")
+        self.holders = self.of[order].astype(np.int32)
+        self.holders_from = np.searchsorted(self.bit[order], np.arange(BITS + 1))
+        self.frequent = np.diff(self.holders_from) * FREQUENT > self.n_nodes
+        if self.n_nodes:
+            heads = self.start[:-1]
+            self.low, self.high = np.minimum.reduceat(self.size, heads), np.maximum.reduceat(self.size, heads)
+            self.surplus = np.maximum.reduceat(surplus, heads)
 
     def set_of(self, i: int) -> np.ndarray:
         return self.words[self.first[i] : self.first[i + 1]]
 
-    def _nodes(self) -> None:
-        """Neighbours become one node while the OR of their bitmaps has few more bits than the first one's (so that it still prunes)."""
-        n = len(self.ids)
-        pop = self.bits.sum(1)
-        near = np.zeros(n, bool)
-        if n > 1:
-            near[1:] = (self.bits[1:] & self.bits[:-1]).sum(1) >= 0.8 * np.minimum(pop[1:], pop[:-1])
-        start = np.flatnonzero(~near)
-        run = np.diff(np.append(start, n))
-        lead = np.repeat(start, run)
-        start = np.unique(np.concatenate([start, np.flatnonzero(near & ((np.arange(n) - lead) % 8 == 0))])) if n else start
-        ors = np.logical_or.reduceat(self.bits, start, axis=0) if n else self.bits
-        wide = ors.sum(1) > 1.5 * pop[start]
-        if wide.any():  # these would prune badly: take them apart
-            ends = np.append(start[1:], n)
-            start = np.unique(np.concatenate([start, *(np.arange(a, b) for a, b in zip(start[wide], ends[wide], strict=True))]))
-            ors = np.logical_or.reduceat(self.bits, start, axis=0)
-        self.start = np.append(start, n)
-        self.node_bits = ors.astype(np.float32)
-        self.low = np.minimum.reduceat(self.size, start) if n else self.size
-        self.high = np.maximum.reduceat(self.size, start) if n else self.size
-        self.node_surplus = np.maximum.reduceat(self.surplus, start) if n else self.surplus
-
-
-def _below(tree: Tree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The leaves below each of ``nodes``, and the position in ``nodes`` that each belongs to."""
-    count = tree.start[nodes + 1] - tree.start[nodes]
-    of = np.repeat(np.arange(len(nodes)), count)
-    return tree.start[nodes][of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count), of
+    def frequent_bits(self, frequent: np.ndarray) -> np.ndarray:
+        """How many of ``frequent`` bits each node has."""
+        return np.bincount(self.of[frequent[self.bit]], minlength=self.n_nodes)
 
 
 def candidates(x: Tree, y: Tree, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves that the bitmaps can't rule out for a Jaccard similarity of ``least``, in bunches: nodes against nodes, then the leaves below those that remain.
+    """Pairs of leaves that bitmaps and sizes can't rule out for a Jaccard similarity of ``least``, in bunches: nodes against nodes, then the leaves below those that remain.
 
-    Sets of sizes p and q that are alike share at least least/(1+least) * (p+q) words. The condition is one product of
-    matrices: two further columns carry what depends on the sizes.
+    Sets of sizes p and q that are alike share at least least/(1+least) * (p+q) words. Of frequent bits, two nodes share
+    no more than either has.
     """
-    c = least / (1 + least)
     if not len(x.ids) or not len(y.ids):
         return
-    a = np.hstack([x.node_bits, np.ones((len(x.low), 1), np.float32), (x.node_surplus - c * x.low)[:, None]])
-    b = np.hstack([y.node_bits, (-c * y.low)[:, None], np.ones((len(y.low), 1), np.float32)]).T.copy()
-    step = max(1, 8_000_000 // max(1, b.shape[1]))
-    for at in range(0, len(a), step):
-        i, j = np.nonzero(a[at : at + step] @ b >= -0.01)
-        i += at
-        keep = (x.high[i] >= least * y.low[j]) & (y.high[j] >= least * x.low[i])
+    c = least / (1 + least)
+    fx, fy = x.frequent_bits(y.frequent), y.frequent_bits(y.frequent)
+    rare = ~y.frequent[x.bit]
+    bit, of = x.bit[rare], x.of[rare]
+    begin = np.searchsorted(of, np.arange(x.n_nodes + 1))
+    for at in range(0, x.n_nodes, BUNCH):
+        end = min(at + BUNCH, x.n_nodes)
+        b, o = bit[begin[at] : begin[end]], of[begin[at] : begin[end]] - at
+        lo = y.holders_from[b]
+        n = y.holders_from[b + 1] - lo
+        where = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
+        overlap = np.bincount(np.repeat(o * y.n_nodes, n) + y.holders[where], minlength=(end - at) * y.n_nodes).reshape(end - at, y.n_nodes)
+        # few pairs share many rare bits; the full bound is for those that could at all
+        i, j = np.nonzero(overlap >= np.floor(c * (x.low[at:end] + y.low.min()) - fx[at:end] - x.surplus[at:end] - 0.01)[:, None])
+        k = i + at
+        keep = overlap[i, j] + np.minimum(fx[k], fy[j]) + np.minimum(x.surplus[k], y.surplus[j]) >= c * (x.low[k] + y.low[j]) - 0.01
+        keep &= (x.high[k] >= least * y.low[j]) & (y.high[j] >= least * x.low[k])
         if same:
-            keep &= i <= j
-        i, j = i[keep], j[keep]
-        for s in range(0, len(i), 50_000):
-            p, op = _below(x, i[s : s + 50_000])
-            # every leaf of the left node against every leaf of the right one
-            q_count = (y.start[j[s : s + 50_000] + 1] - y.start[j[s : s + 50_000]])[op]
-            left = np.repeat(p, q_count)
-            right = np.repeat(y.start[j[s : s + 50_000]][op], q_count) + np.arange(len(left)) - np.repeat(np.cumsum(q_count) - q_count, q_count)
-            keep = left < right if same else np.ones(len(left), bool)
-            small = np.minimum(x.size[left], y.size[right])
-            keep &= small >= least * np.maximum(x.size[left], y.size[right])
-            left, right = left[keep], right[keep]
-            need = c * (x.size[left] + y.size[right])
-            keep = (x.bits[left] & y.bits[right]).sum(1) + np.minimum(x.surplus[left], y.surplus[right]) >= need - 0.01
+            keep &= k <= j
+        k, j = k[keep], j[keep]
+        for s in range(0, len(k), 50_000):
+            left, right = _leaves(x, y, k[s : s + 50_000], j[s : s + 50_000])
+            p, q = x.size[left], y.size[right]
+            keep = np.minimum(p, q) >= least * np.maximum(p, q)
+            if same:
+                keep &= left < right
             yield left[keep], right[keep]
 
 
+def _leaves(x: Tree, y: Tree, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every leaf below node i[n] with every leaf below node j[n], for all n."""
+    a, b = np.diff(x.start)[i], np.diff(y.start)[j]
+    of = np.repeat(np.arange(len(i)), a * b)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(a * b) - a * b, a * b)
+    return x.start[i][of] + k // b[of], y.start[j][of] + k % b[of]
+
+
 class Forest:
     """Union-find over the records of two blocks."""
 
@@ -219,7 +232,7 @@ def similar_groups(df: DataFrame, id_col: str, text: Column, least: float, width
     of at most ``block``; a block is a signature tree. Every pair of blocks is one task, which traverses both trees at
     once and keeps only what the bitmaps' largest possible overlap and the size ranges leave, checks these pairs
     exactly, and returns a spanning forest of the links it found. No link between different texts is lost: what is left out is implied.
-    The number of bitmap comparisons grows with the square of the number of different texts.
+    The number of bitmap comparisons grows with the square of the number of different texts (about 4 ns each).
 
     Texts shorter than ``width`` and nulls have no words and are in no group. Texts without a partner give no row, and
     neither do groups of copies of one text. Ties don't exist; an empty table gives no rows.

@@ -15,6 +15,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def concat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts in one array, and where each text begins (one more entry at the end)."""
     ends = np.cumsum([0, *map(len, texts)])
