@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from readloom.cluster import write_table
 from readloom.llm.duplicates import Copies, fold_copies
-from readloom.llm.windows import concat, window_hashes, window_min, window_starts
+from readloom.llm.windows import concat, mix, window_hashes, window_min, window_starts
 from readloom.operators.skew import skew_join
 
 
@@ -25,8 +25,9 @@ def _anchors(half: int, length: int):
             starts, owner = window_starts(ends, length)
             if len(starts):
                 least = window_min(window_hashes(codes, half), length - half + 1)[starts]
-                pairs = np.unique(np.rec.fromarrays([rec[owner], least.view(np.int64)], names="r,h"))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.h), pa.array(pairs.r)], ["h", "rec"])
+                # neighbouring windows mostly have the same least window, so dropping repeats of the one before drops nearly all
+                new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(rec[owner[new]])], ["h", "rec"])
 
     return run
 
@@ -45,8 +46,9 @@ def _windows(half: int, length: int):
             lists = b.column(2)
             alive = lists.flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(rec)), np.diff(lists.offsets.to_numpy()))
-            known = np.unique(np.rec.fromarrays([of, alive], names="o,h"))
-            mine = np.rec.fromarrays([owner, least], names="o,h")
+            # membership of (text, hash): both mixed into one number; a chance agreement only lets a window be looked at in vain
+            known = np.sort(mix(alive.view(np.uint64) + mix(of.astype(np.uint64))))
+            mine = mix(least.view(np.uint64) + mix(owner.astype(np.uint64)))
             at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
             keep = known[at] == mine
             s, o = starts[keep], owner[keep]
@@ -72,7 +74,7 @@ def shared_windows(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
     """
     half = length // 2
     rows, alive, total = _repeated(texts.select("rec", "text").mapInArrow(_anchors(half, length), "h long, rec long"), ["h"], "halves")
-    lists = skew_join(rows, alive, ["h"], "n", total, F.col("rec")).groupBy("rec").agg(F.collect_list("h").alias("alive"))
+    lists = skew_join(rows, alive, ["h"], "n", total, F.col("rec")).groupBy("rec").agg(F.collect_set("h").alias("alive"))
     candidates = write_table(texts.join(lists, "rec").select("rec", "text", "alive"), "candidates")
     rows, alive, total = _repeated(candidates.mapInArrow(_windows(half, length), "h1 long, h2 long, rec long, pos int"), ["h1", "h2"], "wholes")
     found = write_table(skew_join(rows, alive, ["h1", "h2"], "n", total, F.col("rec")).select("rec", "pos"), "shared")
