@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions without a setting, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run on this machine."""
@@ -20,9 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="readloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_delete, spark, found)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="readloom-")
+            atexit.register(_delete, spark, _LOCAL[app])
+        found = _LOCAL[app]
     return found.rstrip("/")
 
 
