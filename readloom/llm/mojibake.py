@@ -12,12 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.windows import distinct
+
 LOST = "�"
 RUN = re.compile(r"[^\x00-\x7f]+")
 #: Encodings of one byte a character, of which each may have been taken for any other, or for which UTF-8 was taken.
 BYTE = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman")
 #: Encodings of several bytes a character, which were taken for one of BYTE.
 WIDE = ("euc_jp", "cp932")
+#: Control characters, which stand between two wrong readings.
+CONTROL = range(0x80, 0xA0)
 #: Natural logarithms of the odds by which a mapping must make a text more probable.
 LEAST = 5.0
 #: The same where nothing but the odds speak for a mapping: a byte of one encoding is a valid byte of another.
@@ -86,7 +90,7 @@ def pair_statistics(df: DataFrame, text: str) -> DataFrame:
             at = np.flatnonzero(wide[1:] | wide[:-1])
             pair = c[at].astype(np.int64) * k + c[at + 1]
             single = np.flatnonzero(wide)
-            key = np.concatenate([np.unique(owner[at] * (k * (k + 1)) + pair) % (k * (k + 1)), np.unique(owner[single] * (k * (k + 1)) + k * k + c[single]) % (k * (k + 1))])
+            key = np.concatenate([distinct(owner[at] * (k * (k + 1)) + pair) % (k * (k + 1)), distinct(owner[single] * (k * (k + 1)) + k * k + c[single]) % (k * (k + 1))])
             u, n = np.unique(key, return_counts=True)
             keys.append(u)
             counts.append(n)
@@ -243,6 +247,10 @@ class Fixer:
         x, y = classes(before + old + after), classes(before + new + after)
         return float(self.model.log_odds(y[:-1], y[1:]).sum() - self.model.log_odds(x[:-1], x[1:]).sum())
 
+    def strange(self, text: str) -> bool:
+        """Does it have a character of two bytes that no text of the corpus has? Two bytes are often valid by chance; three and four are not."""
+        return any(0x80 <= ord(c) < 0x800 and ord(c) not in CONTROL and not self.model.of[class_table()[0][ord(c)]] for c in text)
+
     def utf8(self, before: str, run: str, after: str) -> tuple[float, str, str] | None:
         """The best undoing of one or more wrong readings of UTF-8: (gain, text, encodings)."""
         key = (before, run, after)
@@ -254,7 +262,7 @@ class Fixer:
             for now, how, valid in level:
                 for encoding in (*BYTE, "cp932"):
                     new = undo_utf8(now, encoding)
-                    if new is None or new == now or LOST in new:
+                    if new is None or new == now or LOST in new or self.strange(new):
                         continue
                     wide = sum(ord(c) > 127 for c in new)
                     n = valid + wide
