@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.seq import kmers
 from readloom.kernels import align as A
 
 #: Scores of alignments in these tests.
@@ -93,10 +94,27 @@ def remove_chimeras(table: DataFrame, method: str = "consensus", **how) -> DataF
     raise ValueError(method)
 
 
+def exact_overlaps(seqs: DataFrame, least: int) -> DataFrame:
+    """(a, b): different sequences of which one begins within the other and agrees with it in every letter from there on, over ``least`` letters or more.
+
+    First letters are joined with windows, and what meets is compared, so no sequence is held against all others.
+    """
+    s = seqs.select("seq").distinct().where(F.length("seq") >= least)
+    heads = s.select(F.col("seq").alias("a"), F.substring("seq", 1, least).alias("w"))
+    tails = s.select(F.col("seq").alias("b"), F.posexplode(kmers(F.col("seq"), least)).alias("p", "w")).withColumn("t", F.expr("substring(b, p + 1)"))
+    n = F.least(F.length("a"), F.length("t"))
+    return heads.join(tails, "w").where((F.col("a") != F.col("b")) & (F.substring("a", F.lit(1), n) == F.substring("t", F.lit(1), n))).select("a", "b").distinct()
+
+
 def shifted(uniques: DataFrame, min_overlap: int = 20, flag_subseqs: bool = False) -> DataFrame:
-    """(seq, shifted): aligns with a more abundant sequence without a difference over at least min_overlap letters, but over less than either's length (a part of it only with ``flag_subseqs``)."""
-    table = uniques.groupBy("seq").agg(F.sum("abundance").alias("abundance")).withColumn("sample", F.lit(0))
-    pairs = parents(table, 1, 0, inclusive=False)
+    """(seq, shifted): aligns with a more abundant sequence without a difference over at least min_overlap letters, but over less than either's length (a part of it only with ``flag_subseqs``).
+
+    Only pairs that agree exactly on some diagonal are aligned: the others can't align without a difference.
+    """
+    table = uniques.groupBy("seq").agg(F.sum("abundance").alias("abundance"))
+    near = exact_overlaps(table, min_overlap)
+    either = near.select(F.col("a").alias("child"), F.col("b").alias("parent")).unionByName(near.select(F.col("b").alias("child"), F.col("a").alias("parent"))).distinct()
+    more = either.join(table.select(F.col("seq").alias("child"), F.col("abundance").alias("_c")), "child").join(table.select(F.col("seq").alias("parent"), F.col("abundance").alias("_p")), "parent").where("_p > _c")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -104,34 +122,40 @@ def shifted(uniques: DataFrame, min_overlap: int = 20, flag_subseqs: bool = Fals
             hit = [m >= min_overlap and not x + g and (m < len(c) or flag_subseqs) and m < len(p) for (m, x, g), c, p in zip(ev, b.child, b.parent, strict=True)]
             yield pd.DataFrame({"seq": b.child, "hit": hit})
 
-    hits = pairs.select("child", "parent").mapInPandas(run, "seq string, hit boolean").where("hit").select("seq").distinct().withColumn("_h", F.lit(True))
+    hits = more.select("child", "parent").mapInPandas(run, "seq string, hit boolean").where("hit").select("seq").distinct().withColumn("_h", F.lit(True))
     return table.join(hits, "seq", "left").select("seq", F.coalesce("_h", F.lit(False)).alias("shifted"))
 
 
 def collapse_no_mismatch(table: DataFrame, min_overlap: int = 20, identical_only: bool = False, band: int = -1) -> DataFrame:
     """(sample, seq, abundance): sequences that differ from a more abundant one only by their length are counted as that one.
 
-    Greedy by total abundance (then by sequence): a sequence goes to the first kept one that begins with its first
-    min_overlap letters, or whose first ones stand in it, and from which it differs in no aligned letter. Only
-    sequences that hold the first letters of each other are ever compared, so they are joined on windows and each
-    connected block is worked through by itself.
+    Greedy by total abundance (then by sequence): a sequence goes to the first kept one from which it differs in no
+    aligned letter and with which it shares its own or the other's first min_overlap letters. Only sequences that agree
+    exactly on some diagonal can go together; these are joined on windows, and each connected block of them is worked
+    through by itself.
     """
     from readloom.operators.components import connected_blocks
 
     if identical_only:
         return table.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance"))
     totals = table.groupBy("seq").agg(F.sum("abundance").alias("total"))
-    heads = totals.where(F.length("seq") >= min_overlap).select(F.col("seq").alias("a"), F.substring("seq", 1, min_overlap).alias("w"))
-    windows = totals.where(F.length("seq") >= min_overlap).select(F.col("seq").alias("b"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - min_overlap + 1), lambda i: F.substring("seq", i, F.lit(min_overlap))))).alias("w"))
-    near = heads.join(windows, "w").where("a <> b").select("a", "b").distinct()
-    blocks = connected_blocks(near, "a", "b")
+    blocks = connected_blocks(exact_overlaps(totals, min_overlap), "a", "b")
+
+    def agree(x: str, y: str) -> bool:
+        at = y.find(x[:min_overlap])
+        while at >= 0:
+            n = min(len(x), len(y) - at)
+            if x[:n] == y[at : at + n]:
+                return True
+            at = y.find(x[:min_overlap], at + 1)
+        return False
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["total", "seq"], ascending=[False, True])
         kept: list[str] = []
         to = []
         for s in pdf.seq:
-            close = [k for k in kept if s[:min_overlap] in k or k[:min_overlap] in s]
+            close = [k for k in kept if agree(s, k) or agree(k, s)]
             als = A.align([s] * len(close), close, band=band, **SCORES) if close else []
             hit = next((k for k, al in zip(close, als, strict=True) if not sum(A.evaluate(al)[1:])), None)
             to.append(hit or s)

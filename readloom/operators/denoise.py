@@ -68,12 +68,16 @@ class Denoised:
         return f"Denoised(rounds={self.rounds}, columns={self.table.columns})"
 
 
-def _run(uniques: DataFrame, err: np.ndarray, known: set[str], opt: Options) -> DataFrame:
-    spark = uniques.sparkSession
-    given = spark.sparkContext.broadcast((err, known))
+def _run(uniques: DataFrame, rates: np.ndarray, known: DataFrame | None, opt: Options) -> DataFrame:
+    """known: (seq) of the sequences to expect."""
+    given = uniques.sparkSession.sparkContext.broadcast(rates)
+    flag = F.lit(False).alias("prior")
+    if known is not None:
+        uniques = uniques.join(known.select("seq").distinct().withColumn("_known", F.lit(True)), "seq", "left")
+        flag = F.coalesce("_known", F.lit(False)).alias("prior")
 
     def kernel(table: pa.Table) -> pa.Table:
-        err, known = given.value
+        err = given.value
         seqs = table.column("seq").to_pylist()
         quals = table.column("qual").to_pylist()
         if any(q is None for q in quals):
@@ -82,10 +86,10 @@ def _run(uniques: DataFrame, err: np.ndarray, known: set[str], opt: Options) ->
             top = int(max(max(q) for q in quals) + 0.5)
             if top >= err.shape[1]:  # qualities beyond the matrix have the rates of its last column
                 err = np.hstack([err, np.repeat(err[:, -1:], top + 1 - err.shape[1], 1)])
-        r = partition.denoise(seqs, np.array(table.column("abundance").to_pylist()), quals, err, np.array([s in known for s in seqs]), opt)
+        r = partition.denoise(seqs, np.array(table.column("abundance").to_pylist()), quals, err, np.array(table.column("prior").to_pylist()), opt)
         return pa.Table.from_pylist([{"sample": table.column("sample")[0].as_py(), "clusters": r["clusters"], "map": [{"seq": s, "cluster": c, "p": p} for s, c, p in zip(seqs, r["map"], r["p"], strict=True)], "trans": r["trans"], "births": r["births"], "quals": [q or [] for q in r["quals"]]}], schema=_arrow())
 
-    return uniques.select("sample", "seq", F.col("abundance").cast("long").alias("abundance"), F.col("qual").cast("array<double>").alias("qual")).groupBy("sample").applyInArrow(kernel, _SCHEMA)
+    return uniques.select("sample", "seq", F.col("abundance").cast("long").alias("abundance"), F.col("qual").cast("array<double>").alias("qual"), flag).groupBy("sample").applyInArrow(kernel, _SCHEMA)
 
 
 def _arrow() -> pa.Schema:
@@ -117,7 +121,7 @@ def denoise(
     if not uniques.where(~F.col("seq").rlike(r"^[ACGT]+\z")).isEmpty():
         raise ValueError("sequences to denoise may have no letters but A, C, G, T")
     work = _pooled(uniques) if pool is True else uniques
-    known = {r.seq for r in prior.select("seq").distinct().collect()} if prior is not None else set()
+    known = prior
     start = err is None
     if start:
         err = np.ones((16, 41))
@@ -137,7 +141,8 @@ def denoise(
                 continue
         elif pool == "pseudo" and rounds == 1 + start:
             table = done.select("sample", F.explode("clusters").alias("c")).select("sample", F.col("c.sequence").alias("seq"), F.col("c.abundance").alias("abundance"))
-            known |= {r.seq for r in priors(table, opt.PSEUDO_PREVALENCE, opt.PSEUDO_ABUNDANCE).select("seq").collect()}
+            found = priors(table, opt.PSEUDO_PREVALENCE, opt.PSEUDO_ABUNDANCE).select("seq")
+            known = write_table(found if known is None else found.unionByName(known.select("seq")), "priors")
             err = err_out
             continue
         elif not self_consist or rounds >= opt.MAX_CONSIST or any(np.array_equal(err_out, s) for s in [err, *seen]):

@@ -205,3 +205,16 @@ def test_query_equals_sql(spark, case):
     for p in glob.glob(f"{SMALL}/*.parquet"):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
     assert _same(case[0](spark, SMALL), con.execute(case[1]))
+
+
+def test_pipeline(spark):
+    from readloom.plans.pipeline import variants
+
+    rng = np.random.default_rng(2)
+    truth = ["".join(rng.choice(list("ACGT"), 70)) for _ in range(3)]
+    data = [(s, t, [30] * 70) for s in ("x", "y") for t, n in zip(truth, (60, 40, 30), strict=True) for _ in range(n)]
+    refs = spark.createDataFrame([(f"K;P;G{i};", t) for i, t in enumerate(truth)], "header string, seq string")
+    out = variants(_reads(spark, data), qc.Filter(), error_function=E.flat_errors, refs=refs)
+    assert {r.seq for r in out.table.collect()} == set(truth)
+    assert rows(out.report) == [("x", 130, 130), ("y", 130, 130)]
+    assert out.taxa.count() == 3
