@@ -1,4 +1,4 @@
-"""Column expressions on nucleotide sequences and their qualities. All but two stay in the JVM."""
+"""Column expressions on nucleotide sequences and their qualities. All but complexity, shared_kmers and word_hits stay in the JVM."""
 
 from __future__ import annotations
 
@@ -99,12 +99,24 @@ def genus_matches(tax: Column, binomial: Column, glyph: str = "/") -> Column:
     return F.coalesce((tax != "") & (binomial != "") & ((tax == binomial) | starts[0] | starts[1] | starts[2] | F.endswith(tax, F.concat(F.lit(glyph), binomial))), F.lit(False))
 
 
-def contains_word_hits(seq: Column, words: list[str] | Column, word: int, non_overlapping: bool) -> Column:
-    """How many of a sequence's words are in ``words``; without overlaps a hit is followed by the word that begins ``word`` + 1 later."""
-    ws = kmers(seq, word)
-    hit = F.transform(ws, lambda w: F.array_contains(words if isinstance(words, Column) else F.array(*map(F.lit, words)), w))
-    if not non_overlapping:
-        return F.size(F.filter(hit, lambda h: h))
-    places = F.filter(F.transform(hit, lambda h, i: F.when(h, i).otherwise(F.lit(-1))), lambda i: i >= 0)
-    start = F.struct(F.lit(-1).alias("next"), F.lit(0).alias("n"))
-    return F.aggregate(places, start, lambda s, i: F.when(i >= s["next"], F.struct((i + word + 1).alias("next"), (s["n"] + 1).alias("n"))).otherwise(s), lambda s: s["n"])
+def word_hits(seq: Column, known: frozenset[str], word: int, non_overlapping: bool) -> Column:
+    """How many of a sequence's words are among ``known``; without overlaps a hit is followed by the word that begins ``word`` + 1 later. Arrow batches: a lookup in a set for each word, however many are known."""
+
+    def count(s: str | None) -> int | None:
+        if s is None:
+            return None
+        if not non_overlapping:
+            return sum(s[i : i + word] in known for i in range(len(s) - word + 1))
+        n, i = 0, 0
+        while i <= len(s) - word:
+            if s[i : i + word] in known:
+                n += 1
+                i += word
+            i += 1
+        return n
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([count(s) for s in x], dtype="Int32")
+
+    return run(seq)

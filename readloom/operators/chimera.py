@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.cluster import spread
 from readloom.functions.seq import kmers
 from readloom.kernels import align as A
 
@@ -36,7 +37,7 @@ def parent_coverage(pairs: DataFrame, allow_one_off: bool = False, min_one_off_d
             far = [allow_one_off and sum(A.evaluate(x)[1:]) >= min_one_off_distance for x in als]
             yield b.assign(**{name: [c[i] for c in cov] for i, name in enumerate(("l", "r", "lo", "ro"))}, far=far)
 
-    return pairs.select("child", "parent").distinct().mapInPandas(run, "child string, parent string, l int, r int, lo int, ro int, far boolean")
+    return spread(pairs.select("child", "parent").distinct()).mapInPandas(run, "child string, parent string, l int, r int, lo int, ro int, far boolean")
 
 
 def gapless_coverage(pairs: DataFrame, **_) -> DataFrame:
@@ -122,7 +123,7 @@ def shifted(uniques: DataFrame, min_overlap: int = 20, flag_subseqs: bool = Fals
             hit = [m >= min_overlap and not x + g and (m < len(c) or flag_subseqs) and m < len(p) for (m, x, g), c, p in zip(ev, b.child, b.parent, strict=True)]
             yield pd.DataFrame({"seq": b.child, "hit": hit})
 
-    hits = more.select("child", "parent").mapInPandas(run, "seq string, hit boolean").where("hit").select("seq").distinct().withColumn("_h", F.lit(True))
+    hits = spread(more.select("child", "parent")).mapInPandas(run, "seq string, hit boolean").where("hit").select("seq").distinct().withColumn("_h", F.lit(True))
     return table.join(hits, "seq", "left").select("seq", F.coalesce("_h", F.lit(False)).alias("shifted"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom import errors as E
-from readloom.cluster import write_table
+from readloom.cluster import spread, write_table
 from readloom.kernels import partition
 from readloom.operators.derep import priors, samples_up_to
 from readloom.options import Options
@@ -89,7 +89,8 @@ def _run(uniques: DataFrame, rates: np.ndarray, known: DataFrame | None, opt: Op
         r = partition.denoise(seqs, np.array(table.column("abundance").to_pylist()), quals, err, np.array(table.column("prior").to_pylist()), opt)
         return pa.Table.from_pylist([{"sample": table.column("sample")[0].as_py(), "clusters": r["clusters"], "map": [{"seq": s, "cluster": c, "p": p} for s, c, p in zip(seqs, r["map"], r["p"], strict=True)], "trans": r["trans"], "births": r["births"], "quals": [q or [] for q in r["quals"]]}], schema=_arrow())
 
-    return uniques.select("sample", "seq", F.col("abundance").cast("long").alias("abundance"), F.col("qual").cast("array<double>").alias("qual"), flag).groupBy("sample").applyInArrow(kernel, _SCHEMA)
+    ready = uniques.select("sample", "seq", F.col("abundance").cast("long").alias("abundance"), F.col("qual").cast("array<double>").alias("qual"), flag)
+    return spread(ready, "sample").groupBy("sample").applyInArrow(kernel, _SCHEMA)
 
 
 def _arrow() -> pa.Schema:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.cluster import spread
 from readloom.functions.seq import reverse_complement
 from readloom.kernels import align as A
 
@@ -81,7 +82,7 @@ def merge_pairs(
             ev = [A.evaluate(x) for x in als]
             yield b[["f", "rc", "prefer"]].assign(nmatch=[e[0] for e in ev], nmismatch=[e[1] for e in ev], nindel=[e[2] for e in ev], merged=[A.consensus(x, p, trim_overhang) for x, p in zip(als, b.prefer, strict=True)])
 
-    aligned = counted.select("f", "rc", "prefer").distinct().mapInPandas(run, "f string, rc string, prefer int, nmatch int, nmismatch int, nindel int, merged string")
+    aligned = spread(counted.select("f", "rc", "prefer").distinct()).mapInPandas(run, "f string, rc string, prefer int, nmatch int, nmismatch int, nindel int, merged string")
     accept = (F.col("nmatch") >= min_overlap) & (F.col("nmismatch") + F.col("nindel") <= max_mismatch)
     out = counted.join(aligned, ["f", "rc", "prefer"]).withColumn("accept", accept)
     out = out.select("sample", F.when(F.col("accept"), F.col("merged")).otherwise("").alias("sequence"), "abundance", F.col("f").alias("forward"), F.col("r").alias("reverse"), "nmatch", "nmismatch", "nindel", "prefer", "accept")

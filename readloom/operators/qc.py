@@ -44,8 +44,8 @@ def contaminated(seq: Column, genome: str, word: int = 16, min_matches: int = 2,
     flags = []
     for strand in (genome, genome[::-1].translate(str.maketrans("ACGT", "TGCA"))):
         ring = strand + strand[: word - 1]
-        words = sorted({ring[i : i + word] for i in range(len(strand))})
-        flags.append(S.contains_word_hits(seq, words, word, non_overlapping) >= min_matches)
+        words = frozenset(ring[i : i + word] for i in range(len(strand)))
+        flags.append(S.word_hits(seq, words, word, non_overlapping) >= min_matches)
     return flags[0] | flags[1]
 
 
