@@ -218,3 +218,21 @@ def test_pipeline(spark):
     assert {r.seq for r in out.table.collect()} == set(truth)
     assert rows(out.report) == [("x", 130, 130), ("y", 130, 130)]
     assert out.taxa.count() == 3
+
+
+def test_tables(spark):
+    from readloom.operators import tables as B
+
+    df = spark.createDataFrame([("s", "acg", 2), ("s", "ACG", None), ("t", "TT", 5), ("t", None, 1), ("t", "", 1)], "sample string, sequence string, abundance int")
+    assert rows(B.as_uniques(df)) == [("ACG", 2), ("TT", 5)]
+    assert rows(B.as_uniques(df.drop("abundance"), "sample")) == [("s", "ACG", 2), ("t", "TT", 1)]
+    assert tuple(B.abundance(df).first()) == (7, 2) and B.as_sequences(df).count() == 4
+    with pytest.raises(ValueError):
+        B.as_sequences(spark.range(1))
+    good = spark.createDataFrame([("s", "A", 1)], "sample string, seq string, abundance int")
+    assert B.is_sequence_table(good) and not B.is_sequence_table(df)
+    assert not B.is_sequence_table(good.withColumn("abundance", F.lit(-1)))
+    clusters = spark.createDataFrame([("s", i, "A" * 100, 1 if i > 1 else None) for i in range(1, 32)], "sample string, cluster int, sequence string, birth_ham int")
+    births = spark.createDataFrame([("s", 17 if i < 27 else i + 40, i) for i in range(2, 32)], "sample string, pos int, clust int")
+    assert rows(B.bad_positions(clusters, births)) == [("s", 17, 25)]
+    assert B.from_bad_positions(clusters, births).where("false_positive").count() == 25
