@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from copy import copy
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.windows import distinct
@@ -31,6 +33,8 @@ LEAST_BYTE = 9.0
 USUAL, RARE = float(np.log(0.15)), float(np.log(2e-3))
 #: What a decoded sequence of UTF-8 bytes adds, as few sequences of such bytes are valid.
 VALID = 2.5
+#: Parts of the collection by hash of the group: a text is also judged without the part that its group is in, so there is one more table of pairs for each.
+FOLDS = 16
 
 
 # --- the alphabet of the statistics: its size is fixed, so the table of pairs has a fixed bound ---------------------
@@ -73,16 +77,31 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return classes("\n" + "\n".join(texts) + "\n"), np.concatenate([[0], owner])
 
 
-def pair_statistics(df: DataFrame, text: str) -> DataFrame:
-    """(a, b, n): in how many texts class a stands before class b, for pairs that aren't both ASCII; with b = -1, how many texts have class a, and with a = b = -1 how many there are. All rows count. At most (number of classes + 1) squared rows."""
+def _fold(group: str) -> Column:
+    return F.pmod(F.xxhash64(group), F.lit(FOLDS)).cast("int")
+
+
+def _distinct_texts(df: DataFrame, text: str, group: str | None) -> DataFrame:
+    """(x, folds): every different text once, null if it is ASCII, with the set of folds that its copies' groups are in as bits. Copies are told by a hash of 128 bits and dropped map-side first."""
+    bit = F.lit(0) if group is None else F.when(F.col(group).isNotNull(), F.call_function("shiftleft", F.lit(1), _fold(group))).otherwise(0)
+    src = df.where(F.length(text) > 0).select(F.md5(F.col(text).cast("binary")).alias("h"), F.when(F.col(text).rlike(r"[^\x00-\x7f]"), F.col(text)).alias("x"), bit.cast("long").alias("folds"))
+    return src.groupBy("h").agg(F.first("x").alias("x"), F.bit_or("folds").alias("folds")).select("x", "folds")
+
+
+def pair_statistics(df: DataFrame, text: str, group: str | None = None) -> DataFrame:
+    """(f, a, b, n): in how many different texts class a stands before class b, for pairs that aren't both ASCII; with b = -1, how many texts have class a, and with a = b = -1 how many there are. f = -1: of all texts; else of those that a group of fold f has. At most (FOLDS + 1) times (number of classes + 1) squared rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = class_table()[1]
-        keys, counts, n_texts = [], [], 0
+        size = k * (k + 1)
+        keys, counts, n_texts = [], [], np.zeros(FOLDS + 1, np.int64)
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            n_texts += len(texts)
-            texts = [t for t in texts if not t.isascii()]
+            folds = batch.column(1).to_numpy()
+            member = np.stack([np.ones(len(folds), bool), *[(folds >> f) & 1 > 0 for f in range(FOLDS)]])
+            n_texts += member.sum(1)
+            texts = batch.column(0).to_pylist()
+            member = member[:, [t is not None for t in texts]]
+            texts = [t for t in texts if t is not None]
             if not texts:
                 continue
             c, owner = _joined(texts)
@@ -90,22 +109,28 @@ def pair_statistics(df: DataFrame, text: str) -> DataFrame:
             at = np.flatnonzero(wide[1:] | wide[:-1])
             pair = c[at].astype(np.int64) * k + c[at + 1]
             single = np.flatnonzero(wide)
-            key = np.concatenate([distinct(owner[at] * (k * (k + 1)) + pair) % (k * (k + 1)), distinct(owner[single] * (k * (k + 1)) + k * k + c[single]) % (k * (k + 1))])
-            u, n = np.unique(key, return_counts=True)
-            keys.append(u)
-            counts.append(n)
+            key = np.concatenate([distinct(owner[at] * size + pair), distinct(owner[single] * size + k * k + c[single])])
+            owner, key = key // size, key % size
+            for f, mine in enumerate(member):
+                u, n = np.unique(key[mine[owner]], return_counts=True)
+                keys.append(f * size + u)
+                counts.append(n)
         if keys:
             u, back = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+            f, u = u // size, u % size
             single = u >= k * k
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(single, u - k * k, u // k).astype(np.int32)), pa.array(np.where(single, -1, u % k).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([n_texts], pa.int64())], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((f - 1).astype(np.int32)), pa.array(np.where(single, u - k * k, u // k).astype(np.int32)), pa.array(np.where(single, -1, u % k).astype(np.int32)), pa.array(n)], ["f", "a", "b", "n"])
+        none = pa.array(np.full(FOLDS + 1, -1, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, FOLDS, dtype=np.int32)), none, none, pa.array(n_texts)], ["f", "a", "b", "n"])
 
-    return df.select(F.col(text).alias("x")).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return _distinct_texts(df, text, group).mapInArrow(run, "f int, a int, b int, n long").groupBy("f", "a", "b").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """What the corpus says about pairs of neighbouring characters."""
+    """What the corpus says about pairs of neighbouring characters. own: how many of the counted texts are the one in question."""
+
+    own = 1
 
     def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray):
         k = class_table()[1]
@@ -119,13 +144,28 @@ class Model:
         order = np.argsort(key)
         self.key, self.n = key[order], n[pair][order].astype(np.float64)
 
+    def without(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Model:
+        """The same with pairs as they stand in texts of other groups only. Characters keep their counts, so a script that one group alone has isn't strange."""
+        out = copy(self)
+        pair = b >= 0
+        out.own, out.n = 0, self.n.copy()
+        out.n[np.searchsorted(self.key, a[pair].astype(np.int64) * self.k + b[pair])] -= n[pair]
+        return out
+
+    def known(self, texts: list[str]) -> bool:
+        """Does at least half of the pairs in these texts stand in others?"""
+        c = [classes(t) for t in texts]
+        a, b = np.concatenate([x[:-1] for x in c]), np.concatenate([x[1:] for x in c])
+        wide = (a >= 128) | (b >= 128)
+        return bool(wide.any()) and float((self.count(a[wide], b[wide]) > 0).mean()) >= 0.5
+
     def count(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many other texts have the pair (the one in question has it as well)."""
         if not len(self.key):
             return np.zeros(len(a))
         key = a.astype(np.int64) * self.k + b
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, np.maximum(self.n[at] - 1, 0), 0)
+        return np.where(self.key[at] == key, np.maximum(self.n[at] - self.own, 0), 0)
 
     def log_odds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """log P(b after a), from texts. Pairs of ASCII characters count 0, as every mapping leaves them."""
@@ -192,6 +232,13 @@ def byte_table(encoding: str) -> tuple[np.ndarray, dict[int, str]]:
     return of, char
 
 
+@cache
+def byte_of(encoding: str) -> dict[int, int]:
+    """Byte of each code point that has one."""
+    of = byte_table(encoding)[0]
+    return {int(c): int(of[c]) for c in np.flatnonzero(of >= 0)}
+
+
 def encode(text: str, encoding: str) -> bytes | None:
     """The bytes that were read as ``text`` under ``encoding``; None if they can't have been."""
     if encoding in WIDE:
@@ -199,12 +246,10 @@ def encode(text: str, encoding: str) -> bytes | None:
             return text.encode(encoding)
         except UnicodeEncodeError:
             return None
-    of = byte_table(encoding)[0]
-    c = codes(text)
-    if (c > 65535).any():
+    try:
+        return codecs.charmap_encode(text, "strict", byte_of(encoding))[0]
+    except UnicodeEncodeError:
         return None
-    b = of[c]
-    return None if (b < 0).any() else b.astype(np.uint8).tobytes()
 
 
 @cache
@@ -329,6 +374,11 @@ class Fixer:
                 edits += more[1]
                 how = how or more[2]
         found = how is not None
+        if found and not self.model.own:
+            # where a group has texts of a kind that no other has, any reading of them is as improbable
+            found = self.model.known([padded[a - 1] + new + padded[z : z + 1] for a, z, new in edits])
+        if not found:
+            how, total = None, 0.0
         if found:
             out, last = [], 0
             for a, z, new in sorted(edits):
@@ -350,10 +400,16 @@ class Fixer:
         old = table[flat]
         old_ll = np.bincount(owner[inner], weights=self.model.log_odds(old[inner], old[inner + 1]), minlength=len(parts))
         names, maps = byte_to_byte()
-        small = np.minimum(flat, 65535)
         high = flat >= 128
-        for (x, y), to in zip(names, maps, strict=True):
-            new = np.where(high, to[small], flat)
+        used, at = np.unique(np.minimum(flat[high], 65535), return_inverse=True)
+        # mappings that do the same to these characters are tried once, the first of them; those that change nothing aren't
+        to = maps[:, used]
+        _, first = np.unique(to, axis=0, return_index=True)
+        for j in np.sort(first):
+            (x, y), new = names[j], flat.copy()
+            if (to[j] == used).all():
+                continue
+            new[high] = to[j][at]
             bad = np.zeros(len(parts), bool)
             bad[owner[new == 0]] = True
             if bad.all():
@@ -408,38 +464,51 @@ class Fixer:
         return best
 
 
-def garbled(df: DataFrame, id_col: str, text: str) -> DataFrame:
+def garbled(df: DataFrame, id_col: str, text: str, group: str | None = None) -> DataFrame:
     """(id, lost, restored, how): every record whose text is garbled, wholly or in part.
 
-    The corpus is read twice. First the pairs of neighbouring characters are counted over all texts (in how many texts
-    each stands, so that one long text weighs no more than a short one). Then each text's pairs are scored by their part
+    The corpus is read twice. First the pairs of neighbouring characters are counted over all different texts (in how many
+    each stands, so that one long text weighs no more than a short one, and copies no more than one). Then each text's pairs are scored by their part
     in the mutual information of neighbours, without what the text itself adds; maximum-scoring segments of improbable
     pairs are cut out, and only inside them the inverse of each wrong reading is tried: UTF-8 read as another encoding,
     up to three times over; one byte encoding read as another; Japanese encodings read as a byte encoding. A reading is taken
     if it makes the text much more probable. Text in a rare script or with rare signs is improbable too, but no inverse
     makes it more probable.
 
+    group: a column of what was read together, such as a repo. Where all of a group was garbled in one way, its own texts
+    would make the wrong pairs usual; so each text is examined a second time by the pairs of other groups' texts (of all
+    that aren't in its fold, by hash of the group). What is found by these alone must restore pairs that other groups have.
+
     restored: the text with each such run replaced; lost: characters were replaced by U+FFFD for good, which is a case by
     itself and may leave nothing to restore. how: the encodings, null if only characters were lost. The table of pairs
     is broadcast; characters are put in a fixed number of classes, so it has a fixed bound however large the collection.
 
     Null, empty and ASCII texts are never cases. Copies of a text are each examined. An empty table gives no rows.
     """
-    found = pair_statistics(df, text).toArrow()
-    model = df.sparkSession.sparkContext.broadcast(Model(*(found.column(c).to_numpy() for c in ("a", "b", "n"))))
+    found = pair_statistics(df, text, group).toArrow()
+    fold, *columns = (found.column(c).to_numpy() for c in ("f", "a", "b", "n"))
+    tables = df.sparkSession.sparkContext.broadcast([[c[fold == f] for c in columns] for f in range(-1, FOLDS)])
+    g = F.lit(None).cast("int") if group is None else F.when(F.col(group).isNotNull(), _fold(group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixer = Fixer(model.value)
+        model = Model(*tables.value[0])
+        fixer = Fixer(model)
+        others: dict[int, Fixer] = {}
         for b in batches:
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, t, f in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 t = t.as_py()
                 if t and not t.isascii():
                     yes, lost, new, how, _ = fixer.examine(t)
+                    if f is not None:
+                        if f not in others:
+                            others[f] = Fixer(model.without(*tables.value[f + 1]))
+                        also, _, new, more, _ = others[f].examine(new)
+                        yes, how = yes or also, how or more
                     if yes:
                         out.append((i, lost, new, how))
             if out:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["id", "lost", "restored", "how"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("x")).mapInArrow(run, "id long, lost boolean, restored string, how string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("x"), g.alias("f")).mapInArrow(run, "id long, lost boolean, restored string, how string")

@@ -107,12 +107,12 @@ def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text", "repo").select(F.col("id").alias("doc_id"))
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     """The garbled texts with what could be restored, and which encodings were confused."""
-    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text", "repo").withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:

@@ -181,6 +181,32 @@ def test_garbled(spark):
     assert mojibake.garbled(df.limit(0), "doc", "text").count() == 0
 
 
+def _clean(r, n, langs=tuple(LINES)):
+    return ["\n".join([f"commit {r.random()}", *r.choices(LINES[r.choice(langs)], k=3)]) for _ in range(n)]
+
+
+def test_copies_do_not_make_garbled_text_usual(spark):
+    r = random.Random(3)
+    whole = "\n".join(["commit", *LINES["ru"]])
+    bad = "\n".join(["commit", *[read_as(x, "cp1251", "cp1252") for x in LINES["ru"]]])
+    texts = dict(enumerate(_clean(r, 400))) | {1000 + i: bad for i in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc long, text string").repartition(4)
+    got = {x.id: x.restored for x in mojibake.garbled(df, "doc", "text").collect()}
+    assert got == {i: whole for i in range(1000, 1200)}
+
+
+def test_a_wholly_garbled_group(spark):
+    r = random.Random(4)
+    rows_, want = [(i, t, f"repo{i % 30}") for i, t in enumerate(_clean(r, 400))], {}
+    for i, t in enumerate(_clean(r, 60, ("ru",))):
+        rows_.append((1000 + i, read_as(t, "cp1251", "cp1252"), "importer"))
+        want[1000 + i] = t
+    # a script that a single group has, and rightly
+    rows_ += [(2000 + i, f"commit {i}\nתוקן באג בקריאת הקובץ\nנוספה בדיקה", "alone") for i in range(60)] + [(3000, "à l'été", None)]
+    df = spark.createDataFrame(rows_, "doc long, text string, repo string").repartition(4)
+    assert {x.id: x.restored for x in mojibake.garbled(df, "doc", "text", "repo").collect()} == want
+
+
 def test_the_table_of_pairs_has_a_fixed_bound():
     table, n = mojibake.class_table()
     assert table.max() + 1 <= n < 4000 and table[ord("É")] == table[ord("é")] and table[ord("7")] == table[ord("0")]
