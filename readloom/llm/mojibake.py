@@ -388,6 +388,28 @@ class Fixer:
             text = "".join([*out, padded[last:]])[1:-1]
         return found or lost, lost, text, how, total
 
+    def wide(self, padded: str, lo: int, hi: int, x: str, y: str) -> tuple[float, int, int, str] | None:
+        """(gain, from, to, text) of undoing y read as x between the first and the last character of a range that aren't ASCII; None if there is no gain. The last one's second byte may be an ASCII character after it."""
+        while lo < hi and ord(padded[lo]) < 128:
+            lo += 1
+        while hi > lo and ord(padded[hi - 1]) < 128:
+            hi -= 1
+        if hi - lo < 4:
+            return None
+        raw = encode(padded[lo:hi], x)
+        if raw is None:
+            return None
+        try:
+            new = raw.decode(y)
+        except UnicodeDecodeError:
+            try:
+                new = (raw + padded[hi].encode()).decode(y)
+                hi += 1
+            except UnicodeError:
+                return None
+        g = self.gain(padded[lo - 1], padded[lo:hi], new, padded[hi] if hi < len(padded) else "\n")
+        return (g, lo, hi, new) if g > 1.0 else None
+
     def other(self, padded: str, runs: list, segments: list[tuple[int, int]]) -> tuple[float, list, str] | None:
         """The best undoing of one byte encoding read as another, or of a wide one read as a byte encoding."""
         best = None
@@ -430,35 +452,23 @@ class Fixer:
                 text = "".join(map(chr, new[ends[i] - len(parts[i]) : ends[i]]))[1:-1]
                 edits += [(a, z, text) for a, z in runs[i][1]]
             best = (best[0], edits, best[2])
-        # wide encodings: the whole segment, as their bytes may be ASCII
-        for x in BYTE[:1] + BYTE[10:12] + BYTE[14:]:
+        # wide encodings: lines that meet a segment, as their bytes may be ASCII; of a line that isn't wholly of such bytes the segment
+        ends = [i for i, ch in enumerate(padded) if ch == "\n"]
+        lines: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for a, z in segments:
+            for i in range(max(bisect_right(ends, a) - 1, 0), len(ends) - 1):
+                if ends[i] >= z:
+                    break
+                lines.setdefault((ends[i] + 1, ends[i + 1]), []).append((max(a, ends[i] + 1), min(z, ends[i + 1])))
+        for x in BYTE:
             for y in WIDE:
                 total, edits = 0.0, []
-                for a, z in segments:
-                    m = padded[a:z]
-                    lo, hi = a + (len(m) - len(m.lstrip("\n\r\t -~"))), z
-                    while lo < hi and ord(padded[lo]) < 128:
-                        lo += 1
-                    while hi > lo and ord(padded[hi - 1]) < 128:
-                        hi -= 1
-                    run = padded[lo:hi]
-                    if len(run) < 4:
-                        continue
-                    raw = encode(run, x)
-                    if raw is None:
-                        continue
-                    try:
-                        new = raw.decode(y)
-                    except UnicodeDecodeError:
-                        try:
-                            new = (raw + padded[hi].encode()).decode(y)
-                            hi += 1
-                        except UnicodeDecodeError:
-                            continue
-                    g = self.gain(padded[lo - 1], padded[lo:hi], new, padded[hi] if hi < len(padded) else "\n")
-                    if g > 1.0:
-                        total += g
-                        edits.append((lo, hi, new))
+                for line, inside in lines.items():
+                    whole = self.wide(padded, *line, x, y)
+                    for r in [whole] if whole else [self.wide(padded, a, z, x, y) for a, z in inside]:
+                        if r:
+                            total += r[0]
+                            edits.append(r[1:])
                 if total >= LEAST_BYTE and (best is None or total > best[0]):
                     best = (total, edits, f"{y} as {x}")
         return best

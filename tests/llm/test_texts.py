@@ -207,6 +207,18 @@ def test_a_wholly_garbled_group(spark):
     assert {x.id: x.restored for x in mojibake.garbled(df, "doc", "text", "repo").collect()} == want
 
 
+def test_wide_encodings_read_as_any_byte_encoding(spark):
+    r = random.Random(6)
+    texts, want = dict(enumerate(_clean(r, 400))), {}
+    for n, (was, taken) in enumerate((w, t) for w in mojibake.WIDE for t in ("cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "iso8859_5", "cp852", "cp866", "cp1252")):
+        texts[1000 + n] = "\n".join([f"commit {n}", *[read_as(x, was, taken) for x in LINES["ja"]]])
+        want[1000 + n] = "\n".join([f"commit {n}", *LINES["ja"]])
+    df = spark.createDataFrame(list(texts.items()), "doc long, text string").repartition(4)
+    got = {x.id: x.restored for x in mojibake.garbled(df, "doc", "text").collect()}
+    assert set(got) == set(want)
+    assert sum(got[i] == w for i, w in want.items()) >= len(want) - 2
+
+
 def test_the_table_of_pairs_has_a_fixed_bound():
     table, n = mojibake.class_table()
     assert table.max() + 1 <= n < 4000 and table[ord("É")] == table[ord("é")] and table[ord("7")] == table[ord("0")]
