@@ -33,6 +33,8 @@ LEAST_BYTE = 9.0
 USUAL, RARE = float(np.log(0.15)), float(np.log(2e-3))
 #: What a decoded sequence of UTF-8 bytes adds, as few sequences of such bytes are valid.
 VALID = 2.5
+#: What is taken off once where a reading has characters of two bytes that no text has: such bytes may be valid by chance, and the corpus says nothing of them.
+DOUBT = 6.0
 #: Parts of the collection by hash of the group: a text is also judged without the part that its group is in, so there is one more table of pairs for each.
 FOLDS = 16
 
@@ -296,28 +298,33 @@ class Fixer:
         """Does it have a character of two bytes that no text of the corpus has? Two bytes are often valid by chance; three and four are not."""
         return any(0x80 <= ord(c) < 0x800 and ord(c) not in CONTROL and not self.model.of[class_table()[0][ord(c)]] for c in text)
 
-    def utf8(self, before: str, run: str, after: str) -> tuple[float, str, str] | None:
-        """The best undoing of one or more wrong readings of UTF-8: (gain, text, encodings)."""
+    def utf8(self, before: str, run: str, after: str) -> tuple[tuple[float, str, str] | None, tuple[float, str, str] | None]:
+        """The best undoing of one or more wrong readings of UTF-8: (gain, text, encodings), and the best of those that yield characters which no text has."""
         key = (before, run, after)
         if key in self.memo:
             return self.memo[key]
-        best, level = None, [(run, "", 0)]
+        best, strange, level = None, None, [(run, "", 0)]
         for _ in range(3):
             found = []
             for now, how, valid in level:
                 for encoding in (*BYTE, "cp932"):
                     new = undo_utf8(now, encoding)
-                    if new is None or new == now or LOST in new or self.strange(new):
+                    if new is None or new == now or LOST in new:
                         continue
                     wide = sum(ord(c) > 127 for c in new)
                     n = valid + wide
                     g = self.gain(before, run, new, after) + VALID * n
                     found.append((new, f"{how} {encoding}".strip(), n))
-                    if best is None or g > best[0] + 1e-6:
+                    if self.strange(new):
+                        # the odds of what no text has say nothing; of several such readings the more probable one
+                        if strange is None or (n, g) > strange[0]:
+                            strange = (n, g), (VALID * n - DOUBT, new, found[-1][1])
+                    elif best is None or g > best[0] + 1e-6:
                         best = (g, new, found[-1][1])
             level = list({f[0]: f for f in found}.values())
             if not level:
                 break
+        best = best, strange and strange[1]
         if len(self.memo) > 100_000:
             self.memo.clear()
         self.memo[key] = best
@@ -348,15 +355,28 @@ class Fixer:
                     a += len(piece) + 1
         edits: list[tuple[int, int, str]] = []
         total, names = 0.0, {}
-        rest = []
+        rest, doubtful = [], {}
         for key, places in runs.items():
-            r = self.utf8(*key)
+            r, strange = self.utf8(*key)
             if r and r[0] >= 1.0:
                 total += r[0] * len(places)
                 names[r[2]] = names.get(r[2], 0.0) + r[0] * len(places)
                 edits += [(a, z, r[1]) for a, z in places]
             else:
                 rest.append((key, places))
+                if strange:
+                    doubtful.setdefault(strange[2], []).append((key, places, strange))
+        # characters that no text has: all such runs that one reading undoes bear each other out, each different one once; those it leaves speak against it
+        for name, those in doubtful.items():
+            different = {key[1]: r[0] + DOUBT for key, _, r in those}
+            left = {key[1] for key, _ in rest} - set(different)
+            g = sum(different.values()) - VALID * len(left) - (0 if names.get(name, 0.0) >= LEAST else DOUBT)
+            if g >= (0 if name in names else LEAST):
+                total += g
+                names[name] = names.get(name, 0.0) + g
+                edits += [(a, z, r[1]) for _, places, r in those for a, z in places]
+                taken = {key for key, _, _ in those}
+                rest = [(k, p) for k, p in rest if k not in taken]
         how = None
         if total >= LEAST:
             how = "utf_8 as " + max(names, key=names.get)
@@ -483,7 +503,8 @@ def garbled(df: DataFrame, id_col: str, text: str, group: str | None = None) ->
     pairs are cut out, and only inside them the inverse of each wrong reading is tried: UTF-8 read as another encoding,
     up to three times over; one byte encoding read as another; Japanese encodings read as a byte encoding. A reading is taken
     if it makes the text much more probable. Text in a rare script or with rare signs is improbable too, but no inverse
-    makes it more probable.
+    makes it more probable. Characters of two bytes that no text has are restored where enough different runs of the text
+    are valid under the same reading, as then only that speaks for them.
 
     group: a column of what was read together, such as a repo. Where all of a group was garbled in one way, its own texts
     would make the wrong pairs usual; so each text is examined a second time by the pairs of other groups' texts (of all

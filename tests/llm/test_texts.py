@@ -219,6 +219,20 @@ def test_wide_encodings_read_as_any_byte_encoding(spark):
     assert sum(got[i] == w for i, w in want.items()) >= len(want) - 2
 
 
+def test_a_script_that_stands_only_garbled(spark):
+    r = random.Random(7)
+    turkish = ["Başlıkları yanlış sıralanmış örnekler artık düşürülmüyor.", "Gereksiz döngü kaldırıldı, birleştirme hızlandı.", "Boş dosyada çıkan hata düzeltildi, ışık ve yağış eşiği."]
+    texts, want = dict(enumerate(_clean(r, 400, ("fr", "pl", "ru", "ja", "en")))), {}
+    for n, lines in enumerate((LINES["el"], turkish, [LINES["ru"][0], "Добавлена проверкаľ заголовковľпередľзаписью."])):
+        want[1000 + n] = "\n".join([f"commit {n}", *lines])
+        texts[1000 + n] = "\n".join([f"commit {n}", *[read_as(x, "utf_8", "cp1252") for x in lines]])
+    # valid by chance, and meant so
+    texts[2000] = "commit É» É» É» Ä°"
+    df = spark.createDataFrame(list(texts.items()), "doc long, text string").repartition(4)
+    got = {x.id: x.restored for x in mojibake.garbled(df, "doc", "text").collect()}
+    assert got == want
+
+
 def test_the_table_of_pairs_has_a_fixed_bound():
     table, n = mojibake.class_table()
     assert table.max() + 1 <= n < 4000 and table[ord("É")] == table[ord("é")] and table[ord("7")] == table[ord("0")]
