@@ -72,6 +72,23 @@ def test_shift_and_collapse(spark):
     assert sum(r[2] for r in out) == 123
 
 
+def _store(spark, path, name, data, schema):
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+
+
+def _store_reads(spark, path, data):
+    _store(spark, path, "reads", [(i, s, f"r{i}", q, [40] * len(q)) for i, (s, q) in enumerate(data)], "read_idx long, sample string, id string, seq string, qual array<tinyint>")
+
+
+def test_shifts_of_all_uniques(spark, tmp_path):
+    from readloom.queries.variants import queries
+
+    a = "ACGTTGCATGCCATTGACCAGTACGATTTGCCA"
+    once, other = "TT" + a[:-2], "GGATCCAAGTCTCAGTTTACGGATCCTTACAGA"
+    _store_reads(spark, tmp_path, [("x", a)] * 2 + [("y", a), ("x", once), ("y", other)])
+    assert rows(queries()["shift_denovo"](spark, str(tmp_path))) == sorted([(a, False), (once, True), (other, False)])
+
+
 def test_merge_tables(spark):
     t = spark.createDataFrame([("s", "AAC", 3), ("s", "GTT", 2)], "sample string, seq string, abundance long")
     with pytest.raises(ValueError):
