@@ -292,14 +292,13 @@ def _match_genera(spark, d):
 @query("tax_classify")
 def _classify(spark, d):
     r = refs(spark, d)
-    queries = r.select(F.substring("seq", 6, 150).alias("seq"))
-    return T.classify(queries, r)
+    return T.classify(r.select("seq"), r)
 
 
 @query("tax_bootstrap")
 def _bootstrap(spark, d):
     r = refs(spark, d)
-    out = T.classify(r.select(F.substring("seq", 1, 120).alias("seq")), r, min_boot=0, try_rc=True)
+    out = T.classify(r.select("seq"), r, min_boot=0, try_rc=True)
     return out.groupBy("Phylum").agg(F.count(F.lit(1)).alias("n"), F.avg("boot_Genus").alias("mean_boot_genus"))
 
 
