@@ -181,6 +181,26 @@ def _pivot(spark, d):
     return D.pivot_samples(seq_table(spark, d).where(F.col("sample") < "S000008"), names)
 
 
+@query("seq_table_pivot_all")
+def _pivot_all(spark, d):
+    """All samples, in the order of their names."""
+    names = sorted(r[0] for r in spark.read.parquet(f"{d}/samples.parquet").where("sample is not null").select("sample").distinct().collect())  # one for each column of the result
+    return D.pivot_samples(seq_table(spark, d), names)
+
+
+@query("seq_table_merge_all")
+def _merge_all(spark, d):
+    """Two whole tables."""
+    t = seq_table(spark, d)
+    return D.merge_tables([t, t], repeats="sum")
+
+
+@query("seq_table_merge_rc_all")
+def _merge_rc_all(spark, d):
+    t = seq_table(spark, d)
+    return D.merge_tables([t, t.withColumn("seq", S.reverse_complement(F.col("seq")))], repeats="sum", try_rc=True)
+
+
 @query("seq_table_merge", f"with {TABLE} select sample, seq, cast(sum(abundance) as bigint) abundance from (select * from t union all select * from t where sample < 'S000010') group by 1, 2")
 def _merge(spark, d):
     t = seq_table(spark, d)
