@@ -54,22 +54,38 @@ def _carry(acc: Column, s: Column) -> Column:
     return F.struct(s.alias("s"), F.array_append(acc["all"], s["marks"]).alias("all"))
 
 
+#: Signs of the joined text, and what they are in it where a literal has them.
+ESCAPES = (("\x1d", "\x1d0"), ("\x1f", "\x1d1"), ("\x1e", "\x1d2"))
+
+
+def _escaped(text: Column) -> Column:
+    for sign, name in ESCAPES:
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def _plain(text: Column) -> Column:
+    for sign, name in reversed(ESCAPES):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
 def split_packed(df: DataFrame, id_col: str, field: str, inside: str = INSIDE) -> DataFrame:
     """(id_col, pos, item): one row for each value packed in ``field``, in order from 1.
 
     The field is split on its quote characters into pieces; a fold over them tells literals from the rest and which
     doubled quotes stand for one. Outside literals every character not in ``inside`` separates two values; pieces are
     split there, and what belongs to one value is put together again: pieces outside quotes are given separators
-    (U+001F) that no literal has, all are joined and split once. All in SQL expressions, row by row, without a shuffle.
+    (U+001F) that stand in literals under another name, all are joined and split once. All in SQL expressions, row by row, without a shuffle.
 
     A quote opens a literal only where a value has no text yet; elsewhere it separates, like any other such sign. Blanks
     around a value and its quotes don't belong to it, blanks within a literal's ends do not either. An empty value keeps
     its number and gives no row; text after a closed literal belongs to its value. A quote never closed reads to the end.
     Null and empty fields give no rows; repeated rows are split each by itself; other columns are ignored.
     """
-    pieces = F.split(F.translate(F.col(field), "\x1f\x1e", "  "), r"""(?=["'])|(?<=["'])""")
+    pieces = F.split(F.col(field), r"""(?=["'])|(?<=["'])""")
     marks = _fold(F.filter(pieces, lambda p: p != ""), inside)
-    joined = F.array_join(F.transform(marks, lambda m: F.when(m["kind"] == 1, F.translate(m["text"], " ", "\x1e")).when(m["kind"] == 2, F.lit("\x1f")).otherwise(F.regexp_replace(m["text"], rf"[^{inside}]", "\x1f"))), "")
+    joined = F.array_join(F.transform(marks, lambda m: F.when(m["kind"] == 1, F.translate(_escaped(m["text"]), " ", "\x1e")).when(m["kind"] == 2, F.lit("\x1f")).otherwise(F.regexp_replace(m["text"], rf"[^{inside}]", "\x1f"))), "")
     values = F.split(joined, "\x1f")
-    trimmed = F.transform(values, lambda v: F.trim(F.translate(F.trim(v), "\x1e", " ")))
+    trimmed = F.transform(values, lambda v: _plain(F.trim(F.translate(F.trim(v), "\x1e", " "))))
     return df.where(F.length(field) > 0).select(id_col, F.posexplode(trimmed).alias("p", "item")).where("item <> ''").select(id_col, (F.col("p") + 1).alias("pos"), "item")
