@@ -29,10 +29,11 @@ def term_table(df: DataFrame, term: str, record: str, amount: str, heavy_share:
     saw. Only the other terms are shuffled as text, in one shuffle by term; none of them is held by many rows. The
     union of both tables is the result.
 
-    Null terms and null records are left out; the empty string is a term. An empty table gives no rows.
+    Null terms and null records are left out, but records with null terms only count among all records; the empty string is a term. An empty table gives no rows.
     """
-    src = df.select(F.col(term).cast("string").alias("term"), F.col(record).cast("string").alias("record"), F.col(amount).cast("long").alias("amount")).where("term is not null and record is not null")
+    src = df.select(F.col(term).cast("string").alias("term"), F.col(record).cast("string").alias("record"), F.col(amount).cast("long").alias("amount")).where("record is not null")
     n_all = src.agg(F.countDistinct("record")).first()[0]
+    src = src.where("term is not null")
     heavy, _ = heavy_keys(src, "term", heavy_share)
     names = sorted(r[0] for r in heavy.collect())
     spark = df.sparkSession
