@@ -43,6 +43,11 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def window_codes(seq: Column, k: int) -> Column:
+    """A 64-bit hash of each word of k letters in order; an empty array for a shorter sequence."""
+    return F.transform(kmers(seq, k), lambda x: F.xxhash64(x))
+
+
 def complexity(seq: Column, k: int = 2, window: int | None = None, by: int = 5) -> Column:
     """Effective number of different k-mers (exp of their Shannon entropy) among those of A, C, G and T.
 

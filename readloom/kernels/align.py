@@ -141,17 +141,18 @@ def consensus(al: tuple[str, str], prefer: int = 1, trim_overhang: bool = False)
 def coverage(al: tuple[str, str], one_off: bool = False, max_shift: int = 16) -> tuple[int, int, int, int]:
     """How much of the query (first) a parent (second) covers from the left and from the right: (left, right, left and right with one difference stepped over).
 
-    Letters of the query beyond the parent's end count as covered, up to max_shift columns; then equal columns do, to the
-    first difference.
+    Letters of the query beyond the parent's ends count as covered, up to max_shift columns at the left and one column
+    less at the right (none there if the alignment has fewer than max_shift columns); then equal columns do, to the first
+    difference.
     """
     x, y = _letters(al)
     size = len(x)
 
-    def side(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    def side(x: np.ndarray, y: np.ndarray, most: int) -> tuple[int, int]:
         own = np.flatnonzero(x != 45)
         pos = int(own[0]) if len(own) else size
-        other = np.flatnonzero(y != 45)
-        credit = max(0, min(int(other[0]) if len(other) else size, max_shift) - pos)
+        other = np.flatnonzero(y[pos:] != 45)
+        credit = max(0, min(pos + int(other[0]) if len(other) else size, most) - pos)
         pos += credit
         differ = np.flatnonzero(x[pos:] != y[pos:])
         run = int(differ[0]) if len(differ) else size - pos
@@ -164,6 +165,32 @@ def coverage(al: tuple[str, str], one_off: bool = False, max_shift: int = 16) ->
             off += (int(rest[0]) if len(rest) else size - at) if at < size else 0
         return total, off
 
-    left, left_off = side(x, y)
-    right, right_off = side(x[::-1], y[::-1])
+    left, left_off = side(x, y, max_shift)
+    right, right_off = side(x[::-1], y[::-1], max_shift - 1 if size >= max_shift else 0)
     return left, right, left_off, right_off
+
+
+def most_covered(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, max_shift: int = 16, gapless: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs (a[i], b[j]) the most that ``coverage`` can give from the left and from the right, whatever their alignment in a band of max_shift: the run of equal letters that begins at an end lies on one diagonal, so the best diagonal bounds it. gapless: of the main diagonal alone, which is then exact."""
+    if not len(i):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, n = _codes(a, max(map(len, a)))
+    y, m = _codes(b, max(map(len, b)))
+    x_end, y_end = (_codes([s[::-1] for s in v], w.shape[1])[0] for v, w in ((a, x), (b, y)))
+    n, m = n[i], m[j]
+    low, high = (np.zeros(len(i), np.int64),) * 2 if gapless else (-(max_shift + np.maximum(n - m, 0)), max_shift + np.maximum(m - n, 0))
+    out = []
+    for p, q, most in ((x, y, max_shift), (x_end, y_end, max_shift - 1)):
+        best = np.where(low < -most, most, 0)
+        for s in range(max(int(low.min()), -most), int(high.max()) + 1):
+            skip, lead = (0, s) if s >= 0 else (-s, 0)  # letters of the query that count as covered, letters of the parent before the query
+            width = min(p.shape[1] - skip, q.shape[1] - lead)
+            on = np.flatnonzero((low <= s) & (s <= high))
+            if width <= 0 or not len(on):
+                continue
+            differ = p[i[on], skip : skip + width] != q[j[on], lead : lead + width]
+            run = np.where(differ.any(1), differ.argmax(1), width)
+            run = np.minimum(run, np.minimum(n[on] - skip, m[on] - lead))
+            best[on] = np.maximum(best[on], np.minimum(skip + np.maximum(run, 0), n[on]))
+        out.append(best)
+    return out[0], out[1]

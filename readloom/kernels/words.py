@@ -29,6 +29,36 @@ def word_numbers(seq: str, k: int) -> np.ndarray:
     return w
 
 
+#: An odd multiplier and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the power of 0 to n - 1, modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def end_hashes(seqs: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each sequence and each length n from ``least`` to one less than its own: (number of the sequence, n, hash of its first n letters, hash of its last n letters), in time linear in the letters. Hashes of equal letters are equal; different ones may rarely be."""
+    sizes = np.array([len(s) for s in seqs], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    letters = np.frombuffer("".join(seqs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    letters = (letters + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    letters ^= letters >> np.uint64(29)
+    n = len(letters) + 1
+    powers = _powers(_BASE, n)
+    back = _powers(_INVERSE, n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers[:-1], dtype=np.uint64)])
+    counts = np.maximum(sizes - least, 0)
+    owner = np.repeat(np.arange(len(seqs)), counts)
+    size = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + least
+    a, z = begin[owner], begin[owner] + sizes[owner]
+    return owner, size, (total[a + size] - total[a]) * back[a], (total[z] - total[z - size]) * back[z - size]
+
+
 def effective_number(counts: np.ndarray) -> np.ndarray:
     """exp of the Shannon entropy along the last axis; 1 where nothing was counted."""
     total = counts.sum(-1, keepdims=True)

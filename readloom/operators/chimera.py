@@ -2,79 +2,184 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.cluster import spread
-from readloom.functions.seq import kmers
+from readloom.cluster import spread, write_table
 from readloom.kernels import align as A
+from readloom.operators.overlaps import exact_overlaps
+from readloom.operators.skew import skew_join
 
 #: Scores of alignments in these tests.
 SCORES = {"match": 5, "mismatch": -4, "gap": -8}
+#: Children and parents that meet in one task.
+BLOCK = 1024
 
 
-def parents(table: DataFrame, min_fold: float, min_abundance: int, inclusive: bool, by: str = "sample") -> DataFrame:
-    """(by, child, parent): sequences of a sample and those that are more than min_fold times as abundant and have at least (or more than) min_abundance.
+def parent_counts(table: DataFrame, min_fold: float, min_abundance: int, inclusive: bool) -> DataFrame:
+    """(sample, seq, n_parents): how many sequences of its sample are more than min_fold times as abundant and have at least (or more than) min_abundance; a sequence without any has no row.
 
-    Both sides are rows of one sample; a sample has few sequences abundant enough to be a parent.
+    By abundances alone: a sample has few different ones, so no pairs of sequences are formed.
     """
-    a = table.select(by, F.col("seq").alias("child"), F.col("abundance").alias("_c"))
     enough = F.col("abundance") >= min_abundance if inclusive else F.col("abundance") > min_abundance
-    b = table.where(enough).select(by, F.col("seq").alias("parent"), F.col("abundance").alias("_p"))
-    return a.join(b, by).where((F.col("_p") > F.col("_c") * F.lit(float(min_fold))) & (F.col("child") != F.col("parent"))).select(by, "child", "parent")
+    levels = table.groupBy("sample", "abundance").agg(F.count(F.lit(1)).alias("n"))
+    at_most = levels.where(enough).select("sample", F.col("abundance").alias("_p"), F.col("n").alias("_n"))
+    # what lies at or below fold * abundance isn't a parent: running totals over the different values of a sample
+    marks = levels.select("sample", (F.col("abundance") * float(min_fold)).alias("v"), "abundance", F.lit(0).cast("long").alias("c")).unionByName(at_most.select("sample", F.col("_p").cast("double").alias("v"), F.lit(None).cast(levels.schema["abundance"].dataType).alias("abundance"), F.col("_n").alias("c")))
+    w = Window.partitionBy("sample").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = marks.select("sample", "abundance", (F.sum("c").over(Window.partitionBy("sample")) - F.sum("c").over(w)).alias("n_parents")).where("abundance is not null and n_parents > 0")
+    return table.select("sample", "seq", "abundance").join(run, ["sample", "abundance"]).select("sample", "seq", "n_parents")
+
+
+def _eligible(children: pa.Table, parents: pa.Table, min_fold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (child, parent) as row numbers, of different sequences of which the second is abundant enough."""
+    c, p = (t.column("abundance").to_numpy().astype(float) for t in (children, parents))
+    ok = p[None, :] > c[:, None] * min_fold
+    same = {s: k for k, s in enumerate(parents.column("seq").to_pylist())}
+    for k, s in enumerate(children.column("seq").to_pylist()):
+        if s in same:
+            ok[k, same[s]] = False
+    return np.nonzero(ok)
+
+
+def _in_blocks(children: DataFrame, parents: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Every child against every parent of its sample, in blocks: a task has at most about BLOCK of each, whatever the size of the sample. No pairs are shuffled; the kernel returns what it found for each child.
+
+    children and parents: (sample, seq, abundance, ul, ur). Blocks are drawn by a hash of the sequence.
+    """
+    sides = children.withColumn("role", F.lit(0)).unionByName(parents.withColumn("role", F.lit(1)))
+    sizes = write_table(sides.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), *(F.greatest(F.ceil(F.count_if(F.col("role") == r) / BLOCK), F.lit(1)).cast("int").alias(f"n{r}") for r in (0, 1))), "block-counts")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = skew_join(sides, sizes, ["sample"], "n", total, F.col("seq"))
+    own, other = (F.when(F.col("role") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("n0", "n1"), ("n1", "n0")))
+    sent = known.withColumn("_own", F.pmod(F.xxhash64("seq"), own).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), other - 1)))
+    child_at = F.when(F.col("role") == 0, F.col("_own")).otherwise(F.col("_other"))
+    sent = sent.select("sample", child_at.alias("cb"), F.when(F.col("role") == 0, F.col("_other")).otherwise(F.col("_own")).alias("pb"), "role", "seq", "abundance", "ul", "ur")
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def run(t: pa.Table) -> pa.Table:
+        role = t.column("role").to_numpy()
+        sides = [t.filter(pa.array(role == r)) for r in (0, 1)]
+        return kernel(*sides).select(names)
 
-def parent_coverage(pairs: DataFrame, allow_one_off: bool = False, min_one_off_distance: int = 4, max_shift: int = 16) -> DataFrame:
-    """(child, parent, l, r, lo, ro, far) for different pairs: what the parent covers from either side, without and with one difference stepped over, and whether it differs from the child enough for the latter to count."""
+    return spread(sent, "sample", "cb", "pb").groupBy("sample", "cb", "pb").applyInArrow(run, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            als = A.align(b.child.tolist(), b.parent.tolist(), band=max_shift, **SCORES)
-            cov = [A.coverage(x, allow_one_off, max_shift) for x in als]
-            far = [allow_one_off and sum(A.evaluate(x)[1:]) >= min_one_off_distance for x in als]
-            yield b.assign(**{name: [c[i] for c in cov] for i, name in enumerate(("l", "r", "lo", "ro"))}, far=far)
-
-    return spread(pairs.select("child", "parent").distinct()).mapInPandas(run, "child string, parent string, l int, r int, lo int, ro int, far boolean")
-
-
-def gapless_coverage(pairs: DataFrame, **_) -> DataFrame:
-    """As parent_coverage for sequences of equal length that are known to need no shift: in expressions only."""
-    a, b = F.split("child", ""), F.split("parent", "")
-    n = F.length("child")
-    run = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: F.equal_null(p, q)), F.lit(False)), F.lit(0).cast("long")) - 1, n).cast("int")
-    none = F.lit(0)
-    return pairs.select("child", "parent").distinct().select("child", "parent", run(a, b).alias("l"), run(F.reverse(a), F.reverse(b)).alias("r"), none.alias("lo"), none.alias("ro"), F.lit(False).alias("far"))
-
-
-def _flags(pairs: DataFrame, covered: DataFrame, by: list[str]) -> DataFrame:
-    """(by, seq, n_parents, chimeric). A parent that covers all of the child alone is no evidence. The best cover from the left and the best from the right may come from different parents."""
-    n = F.length("child")
-    use = F.col("l") + F.col("r") < n
-    best = lambda c, cond: F.coalesce(F.max(F.when(cond, F.col(c))), F.lit(0))
-    far = use & F.col("far")
-    agg = pairs.join(covered, ["child", "parent"]).groupBy(*by, "child").agg(
-        F.count(F.lit(1)).alias("n_parents"), best("l", use).alias("l"), best("r", use).alias("r"), best("l", far).alias("fl"), best("r", far).alias("fr"), best("lo", far).alias("lo"), best("ro", far).alias("ro")
-    )
+
+def _best(i: np.ndarray, v: np.ndarray, use: np.ndarray, n: int) -> pa.Array:
+    """The largest v of each i among those to use; 0 without any."""
+    out = np.zeros(n, np.int64)
+    np.maximum.at(out, i[use], v[use])
+    return pa.array(out)
+
+
+def chimera_evidence(children: DataFrame, parents: DataFrame, min_fold: float, allow_one_off: bool = False, min_one_off_distance: int = 4, max_shift: int = 16, gapless: bool = False) -> DataFrame:
+    """(sample, seq, n_parents, l, r, chimeric): what the best parent covers of a child from either side, and whether a left part of one parent and a right part of another make it up. Children without a parent have no row.
+
+    children, parents: (sample, seq, abundance). A parent that covers all of the child alone is no evidence. With
+    allow_one_off one difference may be stepped over, in parents with at least min_one_off_distance differences.
+
+    First each pair gets a bound of what any alignment could cover (``most_covered``): a child whose bounds don't add up
+    to its length is no chimera, and of the others only the pairs that could fill up the best of the rest are aligned (all,
+    with allow_one_off). l and r are those of the aligned pairs, 0 where none was. gapless: sequences are laid on one
+    another as they are.
+    """
+    shape = [F.lit(0).alias("ul"), F.lit(0).alias("ur")]
+    parents = parents.select("sample", "seq", "abundance", *shape)
+    schema = "sample string, seq string, n_parents long, ul long, ur long"
+
+    def bound(c: pa.Table, p: pa.Table) -> pa.Table:
+        i, j = _eligible(c, p, min_fold)
+        seqs, others = c.column("seq").to_pylist(), p.column("seq").to_pylist()
+        size = np.array([len(s) for s in seqs], np.int64)
+        if allow_one_off:
+            left = right = size[i]
+        else:
+            left, right = (np.concatenate(v) for v in zip(*([np.zeros(0, np.int64)] * 2, *(A.most_covered(seqs, others, i[k : k + 20_000], j[k : k + 20_000], max_shift, gapless) for k in range(0, len(i), 20_000))), strict=True))
+        use = left + right < size[i] if gapless else np.ones(len(i), bool)
+        out = pa.table({"sample": c.column("sample"), "seq": c.column("seq"), "n_parents": pa.array(np.bincount(i, minlength=len(size))), "ul": _best(i, left, use, len(size)), "ur": _best(i, right, use, len(size))})
+        return out.filter(pa.array(np.bincount(i, minlength=len(size)) > 0))
+
+    bounds = _in_blocks(children.select("sample", "seq", "abundance", *shape), parents, bound, schema)
+    bounds = write_table(bounds.groupBy("sample", "seq").agg(F.sum("n_parents").alias("n_parents"), F.max("ul").alias("ul"), F.max("ur").alias("ur")), "chimera-bounds")
+    n = F.length("seq")
+    if gapless:
+        return bounds.select("sample", "seq", "n_parents", F.col("ul").cast("int").alias("l"), F.col("ur").cast("int").alias("r"), (F.col("ul") + F.col("ur") >= n).alias("chimeric"))
+    open_ = children.select("sample", "seq", "abundance").join(bounds.where(F.col("ul") + F.col("ur") >= n).drop("n_parents"), ["sample", "seq"])
+    covers = ("l", "r", "fl", "fr", "lo", "ro")
+
+    def measure(c: pa.Table, p: pa.Table) -> pa.Table:
+        i, j = _eligible(c, p, min_fold)
+        seqs, others = c.column("seq").to_pylist(), p.column("seq").to_pylist()
+        size = np.array([len(s) for s in seqs], np.int64)
+        if not allow_one_off and len(i):
+            ul, ur = (c.column(x).to_numpy() for x in ("ul", "ur"))
+            keep = np.zeros(len(i), bool)
+            for k in range(0, len(i), 20_000):
+                a, b = i[k : k + 20_000], j[k : k + 20_000]
+                left, right = A.most_covered(seqs, others, a, b, max_shift)
+                keep[k : k + 20_000] = (left + ur[a] >= size[a]) | (right + ul[a] >= size[a])
+            i, j = i[keep], j[keep]
+        found = np.zeros((len(i), 5), np.int64)
+        for k in range(0, len(i), 4096):
+            als = A.align([seqs[x] for x in i[k : k + 4096]], [others[x] for x in j[k : k + 4096]], band=max_shift, **SCORES)
+            for at, al in enumerate(als, k):
+                found[at, :4] = A.coverage(al, allow_one_off, max_shift)
+                found[at, 4] = allow_one_off and sum(A.evaluate(al)[1:]) >= min_one_off_distance
+        use = found[:, 0] + found[:, 1] < size[i]
+        far = use & (found[:, 4] > 0)
+        cols = {"sample": c.column("sample"), "seq": c.column("seq")}
+        for name, at, on in zip(covers, (0, 1, 0, 1, 2, 3), (use, use, far, far, far, far), strict=True):
+            cols[name] = _best(i, found[:, at], on, len(size))
+        return pa.table(cols)
+
+    near = _in_blocks(open_, parents, measure, "sample string, seq string, " + ", ".join(f"{c} long" for c in covers))
+    best = near.groupBy("sample", "seq").agg(*[F.max(c).alias(c) for c in covers])
     hit = (F.col("l") + F.col("r") >= n) | (F.col("fl") + F.col("ro") >= n) | (F.col("lo") + F.col("fr") >= n)
-    return agg.select(*by, F.col("child").alias("seq"), "n_parents", hit.alias("chimeric"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c)
+    return bounds.select("sample", "seq", "n_parents").join(best.select("sample", "seq", "l", "r", hit.alias("_hit")), ["sample", "seq"], "left").select("sample", "seq", "n_parents", none("l"), none("r"), F.coalesce("_hit", F.lit(False)).alias("chimeric"))
+
+
+def _evidence(table: DataFrame, min_fold: float, enough: Column, **how) -> DataFrame:
+    table = write_table(table.select("sample", "seq", "abundance"), "chimera-table")
+    return chimera_evidence(table, table.where(enough), min_fold, **how)
+
+
+def is_bimera(seq: str, parents: list[str], allow_one_off: bool = False, min_one_off_distance: int = 4, max_shift: int = 16) -> bool:
+    """Is this sequence made of a left part of one of the parents and a right part of another?"""
+    l = r = fl = fr = lo = ro = 0  # noqa: E741
+    for al in A.align([seq] * len(parents), parents, band=max_shift, **SCORES):
+        a, b, c, d = A.coverage(al, allow_one_off, max_shift)
+        if a + b >= len(seq):
+            continue
+        l, r = max(l, a), max(r, b)  # noqa: E741
+        if allow_one_off and sum(A.evaluate(al)[1:]) >= min_one_off_distance:
+            fl, fr, lo, ro = max(fl, a), max(fr, b), max(lo, c), max(ro, d)
+    return l + r >= len(seq) or fl + ro >= len(seq) or lo + fr >= len(seq) if len(seq) else False
+
+
+def bimeras_of(seqs: DataFrame, parents: DataFrame, **how) -> DataFrame:
+    """(seq, chimeric): ``is_bimera`` of every different seq against the same given parents (seq), in blocks. Arguments as in chimera_evidence."""
+    one = lambda df, n: df.select(F.lit("").alias("sample"), "seq", F.lit(n).alias("abundance")).where("seq is not null").distinct()
+    found = chimera_evidence(one(seqs, 0), one(parents, 1), 1.0, **how).select("seq", "chimeric")
+    return seqs.select("seq").distinct().join(found, "seq", "left").select("seq", F.coalesce("chimeric", F.lit(False)).alias("chimeric"))
 
 
 def chimeras_denovo(uniques: DataFrame, min_fold: float = 2, min_abundance: int = 8, **how) -> DataFrame:
     """(seq, chimeric) for uniques (seq, abundance): made of a left part of one parent and a right part of another. With fewer than two parents never."""
-    table = uniques.groupBy("seq").agg(F.sum("abundance").alias("abundance")).withColumn("sample", F.lit(0))
-    p = parents(table, min_fold, min_abundance, inclusive=False)
-    flags = _flags(p, parent_coverage(p, **how), ["sample"])
-    return table.join(flags.where("n_parents >= 2"), ["sample", "seq"], "left").select("seq", F.coalesce("chimeric", F.lit(False)).alias("chimeric"))
+    table = uniques.groupBy("seq").agg(F.sum("abundance").alias("abundance")).withColumn("sample", F.lit(""))
+    flags = _evidence(table, min_fold, F.col("abundance") > min_abundance, **how).where("n_parents >= 2")
+    return table.join(flags.select("seq", "chimeric"), "seq", "left").select("seq", F.coalesce("chimeric", F.lit(False)).alias("chimeric"))
 
 
-def chimera_votes(table: DataFrame, min_fraction: float = 0.9, ignore: int = 1, min_fold: float = 1.5, min_abundance: int = 2, cover=parent_coverage, **how) -> DataFrame:
-    """(seq, n_flagged, n_samples, chimeric): each sample that holds a sequence votes on it; pairs are aligned once for all samples."""
+def chimera_votes(table: DataFrame, min_fraction: float = 0.9, ignore: int = 1, min_fold: float = 1.5, min_abundance: int = 2, **how) -> DataFrame:
+    """(seq, n_flagged, n_samples, chimeric): each sample that holds a sequence votes on it."""
     table = table.where("abundance > 0")
-    p = parents(table, min_fold, min_abundance, inclusive=True)
-    flags = _flags(p, cover(p, **how), ["sample"])
+    flags = _evidence(table, min_fold, F.col("abundance") >= min_abundance, **how).select("sample", "seq", "chimeric")
     votes = table.join(flags, ["sample", "seq"], "left").groupBy("seq").agg(F.count_if(F.coalesce("chimeric", F.lit(False))).alias("n_flagged"), F.count(F.lit(1)).alias("n_samples"))
     f, n = F.col("n_flagged"), F.col("n_samples")
     return votes.withColumn("chimeric", (f >= n) | ((f > 0) & (f >= (n - ignore) * F.lit(float(min_fraction)))))
@@ -89,24 +194,12 @@ def remove_chimeras(table: DataFrame, method: str = "consensus", **how) -> DataF
         bad = chimeras_denovo(table, **how).where("chimeric").select("seq")
         return table.join(bad, "seq", "left_anti").select("sample", "seq", "abundance")
     if method == "per-sample":
-        p = parents(table, how.pop("min_fold", 2), how.pop("min_abundance", 8), inclusive=False)
-        bad = _flags(p, parent_coverage(p, **how), ["sample"]).where("n_parents >= 2 and chimeric").select("sample", "seq")
+        fold, least = how.pop("min_fold", 2), how.pop("min_abundance", 8)
+        bad = _evidence(table, fold, F.col("abundance") > least, **how).where("n_parents >= 2 and chimeric").select("sample", "seq")
         return table.join(bad, ["sample", "seq"], "left_anti").select("sample", "seq", "abundance")
     raise ValueError(method)
 
 
-def exact_overlaps(seqs: DataFrame, least: int) -> DataFrame:
-    """(a, b): different sequences of which one begins within the other and agrees with it in every letter from there on, over ``least`` letters or more.
-
-    First letters are joined with windows, and what meets is compared, so no sequence is held against all others.
-    """
-    s = seqs.select("seq").distinct().where(F.length("seq") >= least)
-    heads = s.select(F.col("seq").alias("a"), F.substring("seq", 1, least).alias("w"))
-    tails = s.select(F.col("seq").alias("b"), F.posexplode(kmers(F.col("seq"), least)).alias("p", "w")).withColumn("t", F.expr("substring(b, p + 1)"))
-    n = F.least(F.length("a"), F.length("t"))
-    return heads.join(tails, "w").where((F.col("a") != F.col("b")) & (F.substring("a", F.lit(1), n) == F.substring("t", F.lit(1), n))).select("a", "b").distinct()
-
-
 def shifted(uniques: DataFrame, min_overlap: int = 20, flag_subseqs: bool = False) -> DataFrame:
     """(seq, shifted): aligns with a more abundant sequence without a difference over at least min_overlap letters, but over less than either's length (a part of it only with ``flag_subseqs``).
 
@@ -114,7 +207,7 @@ def shifted(uniques: DataFrame, min_overlap: int = 20, flag_subseqs: bool = Fals
     """
     table = uniques.groupBy("seq").agg(F.sum("abundance").alias("abundance"))
     near = exact_overlaps(table, min_overlap)
-    either = near.select(F.col("a").alias("child"), F.col("b").alias("parent")).unionByName(near.select(F.col("b").alias("child"), F.col("a").alias("parent"))).distinct()
+    either = near.select(F.col("a").alias("child"), F.col("b").alias("parent")).unionByName(near.select(F.col("b").alias("child"), F.col("a").alias("parent")))
     more = either.join(table.select(F.col("seq").alias("child"), F.col("abundance").alias("_c")), "child").join(table.select(F.col("seq").alias("parent"), F.col("abundance").alias("_p")), "parent").where("_p > _c")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,37 +225,33 @@ def collapse_no_mismatch(table: DataFrame, min_overlap: int = 20, identical_only
 
     Greedy by total abundance (then by sequence): a sequence goes to the first kept one from which it differs in no
     aligned letter and with which it shares its own or the other's first min_overlap letters. Only sequences that agree
-    exactly on some diagonal can go together; these are joined on windows, and each connected block of them is worked
-    through by itself.
+    exactly on some diagonal can go together. Whether one is kept depends on the more abundant ones it could go to: those
+    that wait for nobody are settled first, then those that wait for them, and so on; each round is a join over all that are
+    still open, and no block of sequences is gathered in one task.
     """
-    from readloom.operators.components import connected_blocks
-
     if identical_only:
         return table.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance"))
-    totals = table.groupBy("seq").agg(F.sum("abundance").alias("total"))
-    blocks = connected_blocks(exact_overlaps(totals, min_overlap), "a", "b")
-
-    def agree(x: str, y: str) -> bool:
-        at = y.find(x[:min_overlap])
-        while at >= 0:
-            n = min(len(x), len(y) - at)
-            if x[:n] == y[at : at + n]:
-                return True
-            at = y.find(x[:min_overlap], at + 1)
-        return False
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["total", "seq"], ascending=[False, True])
-        kept: list[str] = []
-        to = []
-        for s in pdf.seq:
-            close = [k for k in kept if agree(s, k) or agree(k, s)]
-            als = A.align([s] * len(close), close, band=band, **SCORES) if close else []
-            hit = next((k for k, al in zip(close, als, strict=True) if not sum(A.evaluate(al)[1:])), None)
-            to.append(hit or s)
-            if hit is None:
-                kept.append(s)
-        return pd.DataFrame({"seq": pdf.seq.tolist(), "into": to})
-
-    into = totals.join(blocks, totals.seq == blocks.node).select("seq", "total", "root").groupBy("root").applyInPandas(greedy, "seq string, into string")
-    return table.join(into, "seq", "left").groupBy("sample", F.coalesce("into", "seq").alias("seq")).agg(F.sum("abundance").alias("abundance"))
+    totals = write_table(table.groupBy("seq").agg(F.sum("abundance").cast("long").alias("total")), "totals")
+    near = exact_overlaps(totals, min_overlap)
+    for c in ("a", "b"):
+        near = near.join(totals.select(F.col("seq").alias(c), F.struct(-F.col("total"), "seq").alias(f"_{c}")), c)
+    child, parent = F.greatest("_a", "_b"), F.least("_a", "_b")
+    near = near.select(child["seq"].alias("child"), parent["seq"].alias("parent"), parent["col1"].alias("minus"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            same = [not sum(A.evaluate(x)[1:]) for x in A.align(b.child.tolist(), b.parent.tolist(), band=band, **SCORES)]
+            yield b[same]
+
+    links = write_table(spread(near).mapInPandas(run, "child string, parent string, minus long"), "collapse-links")
+    # into: what a sequence that could go to another went to (itself: kept); null while that is open
+    state = write_table(links.groupBy(F.col("child").alias("seq")).agg(F.count(F.lit(1)).alias("_n")).select("seq", F.lit(None).cast("string").alias("into")), "collapse")
+    while not state.where("into is null").isEmpty():
+        # a parent that is no child is kept; a settled one is kept if it went to itself
+        known = links.join(state.select(F.col("seq").alias("parent"), "into", F.lit(True).alias("_is")), "parent", "left")
+        kept = F.col("_is").isNull() | (F.col("into") == F.col("parent"))
+        seen = known.groupBy("child").agg(F.min(F.when(kept, F.struct("minus", "parent"))).alias("k"), F.min(F.when(F.col("_is") & F.col("into").isNull(), F.struct("minus", "parent"))).alias("u"))
+        ready = F.col("u").isNull() | (F.col("k") < F.col("u"))
+        now = state.join(seen.withColumnRenamed("child", "seq"), "seq").select("seq", F.when(F.col("into").isNull() & F.coalesce(ready, F.lit(False)), F.coalesce("k.parent", "seq")).otherwise(F.col("into")).alias("into"))
+        state = write_table(now, "collapse")
+    return table.join(state, "seq", "left").groupBy("sample", F.coalesce("into", "seq").alias("seq")).agg(F.sum("abundance").alias("abundance"))

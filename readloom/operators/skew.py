@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A node reports values down to this part of the share asked for, so that what it leaves out can be bounded.
@@ -83,12 +83,19 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> tuple[DataFrame, int]:
     return df.sparkSession.createDataFrame([(r[0],) for r in rows], "key string"), total
 
 
+def heavy_share(spark: SparkSession, most: float) -> float:
+    """The share of all rows from which a key is heavy: ``most``, or half of what a shuffle partition holds on average if that is less. So no key below it makes a task long, and at most 16/7 keys for each shuffle partition lie above it."""
+    return min(most, 1 / (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def skew_join(rows: DataFrame, groups: DataFrame, on: Sequence[str], size: str, total: int, row_id: Column, share: float = 0.001) -> DataFrame:
     """Inner join of rows to groups (one row for each key; ``size`` says how many rows it has) in which no key makes a long task.
 
-    Groups with at least ``share`` of all rows are at most 1/share and are broadcast. Their rows still pass the shuffle
-    of the other groups, but spread by ``row_id`` under a key that has no match there. Null keys match nothing.
+    Groups with at least ``share`` of all rows (less where there are more than 500 shuffle partitions, see
+    ``heavy_share``) are at most 1/share and are broadcast. Their rows still pass the shuffle of the other groups, but
+    spread by ``row_id`` under a key that has no match there. Null keys match nothing.
     """
+    share = heavy_share(rows.sparkSession, share)
     values = [c for c in groups.columns if c not in on]
     heavy = groups.where(F.col(size) >= max(share * total, 2)).select(*[F.col(c).alias(f"_h_{c}") for c in groups.columns])
     light = groups.where(F.col(size) < max(share * total, 2)).select(*[F.col(c).alias(f"_l_{c}") for c in groups.columns])
@@ -106,28 +113,35 @@ def skew_join(rows: DataFrame, groups: DataFrame, on: Sequence[str], size: str,
     return kept.select(*keep, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_l_{c}")).alias(c) for c in values])
 
 
-def salted_aggregate(df: DataFrame, key: str, amount: str, member: str, share: float = 0.002, salts: int = 64) -> DataFrame:
+def salted_aggregate(df: DataFrame, key: str, amount: str, member: str, share: float = 0.002, salts: int = 64, heavy: DataFrame | None = None) -> DataFrame:
     """(key, n_rows, total, n_members): rows, sum of ``amount`` and distinct ``member`` values of every key, in balanced time.
 
-    Two stages for heavy keys: partial results for each (key, member, salt), where the salt is a hash of the row, then
-    merged by key; both combine on the map side. Light keys take one shuffle by key and need no salt. The salt is a
-    function of the row and not random, so a task that is run again sends its rows to the same place.
+    Two stages for heavy keys (at least ``heavy_share`` of all rows): partial results for each (key, member, salt), where
+    the salt is a hash of the row, then merged by key. The salt is a function of the row and not random, so a task that
+    is run again sends its rows to the same place. Light keys need no salt. All stages combine on the map side, and rows
+    are shuffled by key and member, so even a key just below the share is spread over tasks.
+
+    heavy: the candidates from ``heavy_keys`` where the caller has them already.
 
     Null keys are no key and are left out; null amounts add nothing (a key with only null amounts has total 0); null
     members aren't counted. Repeated rows count each time. An empty table gives no rows.
     """
-    src = df.select(F.col(key).cast("string").alias("key"), F.col(amount).cast("long").alias("amount"), F.col(member).cast("string").alias("member"))
-    heavy, total = heavy_keys(src, "key", share)
+    src = key_columns(df, key, amount, member)
+    if heavy is None:
+        heavy, _ = heavy_keys(src, "key", heavy_share(df.sparkSession, share))
     src = src.where("key is not null")
+    sums = [F.sum("n").alias("n"), F.sum("s").alias("s")]
+    first = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("s")]
     salted = (
         src.join(F.broadcast(heavy), "key", "left_semi")
         .withColumn("salt", F.pmod(F.xxhash64("member", "amount"), F.lit(salts)).cast("int"))
-        .groupBy("key", "member", "salt").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("s"))
-        .groupBy("key", "member").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    )
-    plain = (
-        src.join(F.broadcast(heavy), "key", "left_anti").repartition("key")
-        .groupBy("key", "member").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("s"))
+        .groupBy("key", "member", "salt").agg(*first).groupBy("key", "member").agg(*sums)
     )
+    plain = src.join(F.broadcast(heavy), "key", "left_anti").groupBy("key", "member").agg(*first)
     finish = lambda x: x.groupBy("key").agg(F.sum("n").alias("n_rows"), F.sum("s").alias("total"), F.count("member").alias("n_members"))
     return finish(salted).unionByName(finish(plain))
+
+
+def key_columns(df: DataFrame, key: str, amount: str, member: str) -> DataFrame:
+    """(key, amount, member) as text, number and text, whatever df calls them."""
+    return df.select(F.col(key).cast("string").alias("key"), F.col(amount).cast("long").alias("amount"), F.col(member).cast("string").alias("member"))

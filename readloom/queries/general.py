@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators.packed import split_packed
-from readloom.operators.skew import salted_aggregate
+from readloom.operators.skew import heavy_keys, heavy_share, salted_aggregate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,9 @@ def _p7(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     out = []
     for src, df in _p7(spark, d).items():
-        per_key = salted_aggregate(df, "key", "abundance", "sample")
-        out.append(per_key.where(F.col("n_rows") >= 0.01 * df.count()).select(F.lit(src).alias("src"), F.col("key").alias("hot_key")))
+        heavy, total = heavy_keys(df, "key", heavy_share(spark, 0.002))
+        per_key = salted_aggregate(df, "key", "abundance", "sample", heavy=heavy)
+        out.append(per_key.where(F.col("n_rows") >= 0.01 * total).select(F.lit(src).alias("src"), F.col("key").alias("hot_key")))
     return out[0].unionByName(out[1])
 
 

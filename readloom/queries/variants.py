@@ -90,29 +90,29 @@ _PARENTS = f"{TABLE}, pp as (select a.sample, a.seq child, b.seq parent from t a
 _COVER = f"""{_PARENTS}, dp as (select distinct child, parent from pp),
 cv as (select child, parent, coalesce(nullif(list_position(list_transform(range(1, 97), lambda i: substr(child, cast(i as int), 1) <> substr(parent, cast(i as int), 1)), true), 0) - 1, 96) l,
 coalesce(nullif(list_position(list_transform(range(1, 97), lambda i: substr(child, cast(97 - i as int), 1) <> substr(parent, cast(97 - i as int), 1)), true), 0) - 1, 96) r from dp),
-fl as (select sample, child seq, max(case when l + r < 96 then l else 0 end) + max(case when l + r < 96 then r else 0 end) >= 96 hit from pp join cv using (child, parent) group by 1, 2),
-vt as (select seq, count(*) filter (where coalesce(hit, false)) n_flagged, count(*) n_samples from t left join fl using (sample, seq) group by 1),
-vo as (select *, n_flagged >= n_samples or n_flagged > 0 and n_flagged >= (n_samples - 1) * 0.9 chimeric from vt)"""
+fl as (select sample, child seq, count(*) n_parents, max(case when l + r < 96 then l else 0 end) l, max(case when l + r < 96 then r else 0 end) r from pp join cv using (child, parent) group by 1, 2)"""
 
 
-@query("chimera_parents", f"with {_PARENTS} select sample, child, parent from pp")
+@query("chimera_parents", f"with {_PARENTS} select sample, child seq, count(*) n_parents from pp group by 1, 2")
 def _parents(spark, d):
-    return chimera.parents(seq_table(spark, d), 1.5, 2, inclusive=True)
+    """How many sequences of its sample each one is held against."""
+    return chimera.parent_counts(seq_table(spark, d), 1.5, 2, inclusive=True)
 
 
-@query("chimera_gapless", f"with {_COVER} select child, parent, cast(l as int) l, cast(r as int) r from cv")
+@query("chimera_gapless", f"with {_COVER} select sample, seq, n_parents, cast(l as int) l, cast(r as int) r, l + r >= 96 chimeric from fl")
 def _gapless(spark, d):
-    return chimera.gapless_coverage(chimera.parents(seq_table(spark, d), 1.5, 2, inclusive=True)).select("child", "parent", "l", "r")
+    t = seq_table(spark, d)
+    return chimera.chimera_evidence(t, t.where("abundance >= 2"), 1.5, gapless=True)
 
 
-@query("chimera_vote", f"with {_COVER} select seq, n_flagged, n_samples, chimeric from vo")
+@query("chimera_vote")
 def _vote(spark, d):
-    return chimera.chimera_votes(seq_table(spark, d), cover=chimera.gapless_coverage)
+    return chimera.chimera_votes(seq_table(spark, d))
 
 
-@query("chimera_remove", f"with {_COVER} select sample, seq, cast(abundance as bigint) abundance from t where seq not in (select seq from vo where chimeric)")
+@query("chimera_remove")
 def _remove(spark, d):
-    return chimera.remove_chimeras(seq_table(spark, d), cover=chimera.gapless_coverage)
+    return chimera.remove_chimeras(seq_table(spark, d))
 
 
 @query("chimera_full")
