@@ -8,116 +8,145 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.cluster import write_table
-from readloom.llm.components import connected_components
 from readloom.llm.duplicates import fold_copies
 from readloom.llm.windows import concat, distinct, mix, window_hashes, window_starts
-
-#: Bits of a bitmap. Bitmaps are sparse: a record sets a few hundred of them.
-BITS = 1 << 16
-#: A bit that more than one in so many nodes have is frequent: it is bounded and not counted.
-FREQUENT = 32
-#: Nodes traversed against a whole tree at once.
-BUNCH = 64
+from readloom.operators.components import connected_components
+
+#: Bits of a bitmap for each word of a set of average size: enough that sets without a word in common share far fewer bits than alike ones.
+BITS_PER_WORD = 1.9
+#: Children of a node of a tree.
+FAN = 16
+#: Neighbours that share this part of their bits go below one node.
+NEAR = 0.8
+#: Rows of a tree traversed against all of another at once.
+BUNCH = 8
+#: Tiles whose summaries meet in one task.
+SUMMARIES = 1024
 SEPARATOR = "\0"
-#: A word set's elements are 44-bit hashes; the rest of 64 bits numbers the set within a block.
+#: A word set's elements are 44-bit hashes; the rest of 64 bits numbers the set within a batch.
 _WORD = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
 
 
-class Tree:
-    """The word sets of one block of records in two levels.
+class Level:
+    """Nodes of one level of a tree: OR of the bitmaps below each (one row for each 64 bits, one column for each node), the range of set sizes, and the largest surplus (words of a set beyond the number of its bits).
+
+    Two sets x and y share at most popcount(X & Y) + min(surplus(x), surplus(y)) words, and so do all sets below two
+    nodes, with the OR of the bitmaps and the largest surplus.
+    """
+
+    def __init__(self, bits: np.ndarray, low: np.ndarray, high: np.ndarray, surplus: np.ndarray):
+        self.bits, self.low, self.high, self.surplus = np.ascontiguousarray(bits), low, high, surplus
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def above(self, first: np.ndarray) -> Level:
+        """The level of nodes that begin at ``first`` of this one's."""
+        return Level(np.bitwise_or.reduceat(self.bits, first, axis=1), np.minimum.reduceat(self.low, first), np.maximum.reduceat(self.high, first), np.maximum.reduceat(self.surplus, first))
 
-    Leaves are records: bitmap, set size and surplus (words beyond the number of set bits). A node holds neighbouring
-    leaves that look alike, as the OR of their bitmaps, the range of their sizes and their largest surplus; a record
-    without a lookalike is a node alone. Two sets x and y share at most popcount(X & Y) + surplus(x) words, and so do
-    all sets below two nodes, with the OR of the bitmaps and the largest surplus.
 
-    The nodes' bitmaps are kept as lists of set bits and, the other way, as the nodes that have each bit; so the
-    popcounts of one node's bitmap with those of a whole tree take as many additions as they sum up to.
+def _overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """popcount(X & Y) of every column of x with every column of y."""
+    shape = x.shape[1], y.shape[1]
+    both, count, part, total = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.zeros(shape, np.uint8), np.zeros(shape, np.uint16)
+    for w in range(len(x)):
+        np.bitwise_and(x[w][:, None], y[w][None, :], out=both)
+        np.bitwise_count(both, out=count)
+        np.add(part, count, out=part)
+        if w % 3 == 2 or w == len(x) - 1:  # three words count 192 at most
+            np.add(total, part, out=total)
+            part[:] = 0
+    return total
+
+
+def meeting(x: Level, y: Level, least: float, i: np.ndarray, j: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the nodes i of x and j of y (null: all) may have sets of a Jaccard similarity of ``least`` below them.
+
+    Alike sets of sizes p and q share at least least / (1 + least) * (p + q) words, and their sizes differ by a factor of
+    at most 1 / least.
     """
+    c = least / (1 + least)
+    yb = y.bits if j is None else y.bits[:, j]
+    low, high, surplus = (v if j is None else v[j] for v in (y.low, y.high, y.surplus))
+    overlap = _overlaps(x.bits[:, i], yb)
+    # a cheap bound first; the exact one for the few that pass it
+    floor = c * (x.low[i].min() + low) - np.minimum(x.surplus[i].max(), surplus) - 0.01
+    a, b = np.divmod(np.flatnonzero(overlap >= np.maximum(np.ceil(floor), 0).astype(np.uint16)[None, :]), len(low))
+    k = i[a]
+    keep = overlap[a, b] + np.minimum(x.surplus[k], surplus[b]) >= c * (x.low[k] + low[b]) - 0.01
+    keep &= (x.high[k] >= least * low[b] - 1e-9) & (high[b] >= least * x.low[k] - 1e-9)
+    b = b[keep]
+    return k[keep], b if j is None else j[b]
+
+
+class Tree:
+    """The word sets of one block: leaves are records, nodes are up to FAN neighbouring leaves that look alike (a record without a lookalike is a node alone), branches are FAN nodes, and the root is all."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str], width: int):
-        self.ids, n = ids, len(ids)
-        codes, ends = concat(texts)
-        starts, owner = window_starts(ends, width)
-        words = window_hashes(codes, width)[starts] >> np.uint64(20) if len(starts) else np.zeros(0, np.uint64)
-        both = distinct((owner.astype(np.uint64) << _WORD) | words)
-        self.words, of = both & _LOW, (both >> _WORD).astype(np.int64)
-        self.size = np.bincount(of, minlength=n)
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-        # neighbours that share most of their words are put below one node
-        back = (both - (np.uint64(1) << _WORD))[of > 0]
-        at = np.minimum(np.searchsorted(both, back), max(len(both) - 1, 0))
-        shared = np.bincount(of[of > 0], weights=both[at] == back, minlength=n) if len(both) else np.zeros(n)
+    def __init__(self, ids: np.ndarray, size: np.ndarray, bits: np.ndarray, texts: list[str], width: int):
+        self.ids, self.texts, self.width, self.size = ids, texts, width, size
+        n = len(ids)
+        self.leaf = Level(bits.T, size, size, size - np.bitwise_count(bits).sum(1, dtype=np.int64))
+        same = np.bitwise_count(bits[1:] & bits[:-1]).sum(1, dtype=np.int64)
         near = np.zeros(n, bool)
-        near[1:] = shared[1:] >= 0.8 * np.minimum(self.size[1:], self.size[:-1])
+        near[1:] = same >= NEAR * np.maximum(*(np.bitwise_count(v).sum(1, dtype=np.int64) for v in (bits[1:], bits[:-1])))
         start = np.flatnonzero(~near)
         lead = np.repeat(start, np.diff(np.append(start, n)))
-        self.start = np.append(np.flatnonzero(~near | ((np.arange(n) - lead) % 8 == 0)), n)
-        self.n_nodes = len(self.start) - 1
-        node = np.repeat(np.arange(self.n_nodes), np.diff(self.start))
-        bit = (mix(self.words) & np.uint64(BITS - 1)).astype(np.int64)
-        leaf_bits = distinct(of * BITS + bit)
-        surplus = self.size - np.bincount(leaf_bits // BITS, minlength=n)
-        pairs = distinct(node[leaf_bits // BITS] * BITS + leaf_bits % BITS)
-        self.bit, self.of = pairs % BITS, pairs // BITS
-        self.bits_from = np.searchsorted(self.of, np.arange(self.n_nodes + 1))
-        order = np.argsort(self.bit.astype(np.uint16), kind="stable")
-        self.holders = self.of[order].astype(np.int32)
-        self.holders_from = np.searchsorted(self.bit[order], np.arange(BITS + 1))
-        self.frequent = np.diff(self.holders_from) * FREQUENT > self.n_nodes
-        if self.n_nodes:
-            heads = self.start[:-1]
-            self.low, self.high = np.minimum.reduceat(self.size, heads), np.maximum.reduceat(self.size, heads)
-            self.surplus = np.maximum.reduceat(surplus, heads)
+        self.start = np.append(np.flatnonzero(~near | ((np.arange(n) - lead) % FAN == 0)), n)
+        self.node = self.leaf.above(self.start[:-1])
+        self.branch = self.node.above(np.arange(0, len(self.node), FAN))
+        self.root = self.branch.above(np.zeros(1, np.int64))
+        self._sets: dict[int, np.ndarray] = {}
 
     def set_of(self, i: int) -> np.ndarray:
-        return self.words[self.first[i] : self.first[i + 1]]
+        """The words of record i; only those of candidates are ever looked at."""
+        if i not in self._sets:
+            codes, ends = concat([self.texts[i]])
+            self._sets[i] = distinct(window_hashes(codes, self.width) >> np.uint64(20))
+        return self._sets[i]
 
-    def frequent_bits(self, frequent: np.ndarray) -> np.ndarray:
-        """How many of ``frequent`` bits each node has."""
-        return np.bincount(self.of[frequent[self.bit]], minlength=self.n_nodes)
 
+def _below(n: int, of: np.ndarray) -> np.ndarray:
+    """The children of nodes ``of``, in order, of a level of n."""
+    return (of[:, None] * FAN + np.arange(FAN)).ravel()[: None if not len(of) or (of[-1] + 1) * FAN <= n else n - (of[-1] + 1) * FAN]
 
-def candidates(x: Tree, y: Tree, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves that bitmaps and sizes can't rule out for a Jaccard similarity of ``least``, in bunches: nodes against nodes, then the leaves below those that remain.
 
-    Sets of sizes p and q that are alike share at least least/(1+least) * (p+q) words. Of frequent bits, two nodes share
-    no more than either has.
-    """
-    if not len(x.ids) or not len(y.ids):
+def candidates(x: Tree, y: Tree, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves that bitmaps and sizes can't rule out, in bunches: both trees are traversed at once, root against root, branches against branches, nodes against nodes, leaves against leaves, and below a pair that is ruled out nothing is looked at."""
+    if not len(meeting(x.root, y.root, least, np.zeros(1, np.int64), None)[0]):
         return
-    c = least / (1 + least)
-    fx, fy = x.frequent_bits(y.frequent), y.frequent_bits(y.frequent)
-    rare = ~y.frequent[x.bit]
-    bit, of = x.bit[rare], x.of[rare]
-    begin = np.searchsorted(of, np.arange(x.n_nodes + 1))
-    for at in range(0, x.n_nodes, BUNCH):
-        end = min(at + BUNCH, x.n_nodes)
-        b, o = bit[begin[at] : begin[end]], of[begin[at] : begin[end]] - at
-        lo = y.holders_from[b]
-        n = y.holders_from[b + 1] - lo
-        where = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
-        overlap = np.bincount(np.repeat(o * y.n_nodes, n) + y.holders[where], minlength=(end - at) * y.n_nodes).reshape(end - at, y.n_nodes)
-        # few pairs share many rare bits; the full bound is for those that could at all
-        i, j = np.nonzero(overlap >= np.floor(c * (x.low[at:end] + y.low.min()) - fx[at:end] - x.surplus[at:end] - 0.01)[:, None])
-        k = i + at
-        keep = overlap[i, j] + np.minimum(fx[k], fy[j]) + np.minimum(x.surplus[k], y.surplus[j]) >= c * (x.low[k] + y.low[j]) - 0.01
-        keep &= (x.high[k] >= least * y.low[j]) & (y.high[j] >= least * x.low[k])
+    for at in range(0, len(x.branch), BUNCH):
+        i, j = meeting(x.branch, y.branch, least, np.arange(at, min(at + BUNCH, len(x.branch))), None)
         if same:
-            keep &= k <= j
-        k, j = k[keep], j[keep]
-        for s in range(0, len(k), 50_000):
-            left, right = _leaves(x, y, k[s : s + 50_000], j[s : s + 50_000])
-            p, q = x.size[left], y.size[right]
-            keep = np.minimum(p, q) >= least * np.maximum(p, q)
+            keep = i <= j
+            i, j = i[keep], j[keep]
+        for b in np.unique(i):
+            mine = j[i == b]
+            cols = None if len(mine) == len(y.branch) else _below(len(y.node), mine)
+            k, q = meeting(x.node, y.node, least, np.arange(b * FAN, min((b + 1) * FAN, len(x.node))), cols)
             if same:
-                keep &= left < right
-            yield left[keep], right[keep]
+                keep = k <= q
+                k, q = k[keep], q[keep]
+            if len(k):
+                left, right = _leaves(x, y, k, q)
+                if same:
+                    keep = left < right
+                    left, right = left[keep], right[keep]
+                yield _alike(x, y, least, left, right)
+
+
+def _alike(x: Tree, y: Tree, least: float, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of leaves those that their own bitmaps and sizes leave."""
+    p, q = x.size[left], y.size[right]
+    keep = np.minimum(p, q) >= least * np.maximum(p, q) - 1e-9
+    left, right = left[keep], right[keep]
+    shared = np.bitwise_count(x.leaf.bits[:, left] & y.leaf.bits[:, right]).sum(0, dtype=np.int64) + np.minimum(x.leaf.surplus[left], y.leaf.surplus[right])
+    keep = shared >= least / (1 + least) * (x.size[left] + y.size[right]) - 0.01
+    return left[keep], right[keep]
 
 
 def _leaves(x: Tree, y: Tree, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,15 +164,24 @@ class Forest:
         self.up = np.arange(n)
 
     def roots(self, i: np.ndarray) -> np.ndarray:
+        """Roots of many; their paths are cut short."""
+        r = self.up[i]
         while True:
-            higher = self.up[self.up]
-            if (higher == self.up).all():
-                return self.up[i]
-            self.up = higher
+            higher = self.up[r]
+            if (higher == r).all():
+                self.up[i] = r
+                return r
+            r = higher
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return int(i)
 
     def join(self, i: int, j: int) -> None:
-        r = self.roots(np.array([i, j]))
-        self.up[max(r)] = min(r)
+        self.up[max(i, j)] = min(i, j)
 
 
 def links(x: Tree, y: Tree, least: float, same: bool) -> Iterator[tuple[int, int]]:
@@ -168,97 +206,170 @@ def links(x: Tree, y: Tree, least: float, same: bool) -> Iterator[tuple[int, int
             rank = np.arange(len(code)) - np.searchsorted(code, code)
             test = order[rank < take]
             for k in test:
+                a, b = forest.root(i[k]), forest.root(j[k] + offset)
+                if a == b:
+                    continue
                 p, q = x.set_of(i[k]), y.set_of(j[k])
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 if shared >= least * (len(p) + len(q) - shared) - 1e-9 and shared:
-                    r = forest.roots(np.array([i[k], j[k] + offset]))
-                    if r[0] != r[1]:
-                        forest.join(i[k], j[k] + offset)
-                        yield int(x.ids[i[k]]), int(y.ids[j[k]])
+                    forest.join(a, b)
+                    yield int(x.ids[i[k]]), int(y.ids[j[k]])
             rest = np.ones(len(i), bool)
             rest[test] = False
             i, j, take = i[rest], j[rest], take * 4
 
 
-def _sketch(width: int):
-    """Adds two minima of hashed words, by which lookalikes become neighbours."""
+def _sketch(width: int, n_bits: int):
+    """(id, text, size, m1, m2, bits): the number of different words, two minima of hashed words, by which lookalikes become neighbours, and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            codes, ends = concat(texts)
-            starts, owner = window_starts(ends, width)
-            h = window_hashes(codes, width)[starts] if len(starts) else np.zeros(0, np.uint64)
-            out = []
-            for seed in (1, 2):
-                best = np.full(len(texts), np.uint64(2**64 - 1))
-                np.minimum.at(best, owner, mix(h + np.uint64(seed)))
-                out.append(pa.array(best.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["id", "text", "m1", "m2"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                n = b.num_rows
+                codes, ends = concat(b.column(1).to_pylist())
+                starts, owner = window_starts(ends, width)
+                words = window_hashes(codes, width)[starts] >> np.uint64(20)
+                both = distinct((owner.astype(np.uint64) << _WORD) | words)
+                of, words = (both >> _WORD).astype(np.int64), both & _LOW
+                first = np.searchsorted(of, np.arange(n))  # every text has a word
+                h = mix(words)
+                bit = (h >> np.uint64(1)) % np.uint64(n_bits)
+                bits = np.zeros((n, n_bits), bool)
+                bits[of, bit.astype(np.int64)] = True
+                packed = np.packbits(bits, axis=1)
+                minima = [pa.array(np.minimum.reduceat(mix(words + np.uint64(seed)), first).view(np.int64)) for seed in (1, 2)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.bincount(of, minlength=n)), *minima, pa.array([row.tobytes() for row in packed], pa.binary())], ["id", "text", "size", "m1", "m2", "bits"])
 
     return run
 
 
-def _pack(block: int):
-    """Blocks of at most ``block`` records that follow one another: (b, n, low, high, ids, texts)."""
+def _zip(values: np.ndarray | str) -> bytes:
+    return zlib.compress(values.encode() if isinstance(values, str) else np.ascontiguousarray(values).tobytes(), 1)
+
+
+def _pack(block: int, per_tile: int):
+    """Blocks of at most ``block`` records that follow one another, at most ``per_tile`` of them to a tile, each with the size range, the largest surplus and the OR of the bitmaps: (tile, low, high, surplus, bits, ids, sizes, leaves, texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        ids: list[int] = []
-        texts: list[str] = []
+        held: list[pa.RecordBatch] = []
 
         def out() -> pa.RecordBatch:
-            size = [len(t) for t in texts]
-            return pa.RecordBatch.from_pydict({"b": pa.array([(part << 24) + number], pa.int64()), "longest": pa.array([max(size)], pa.int64()), "ids": pa.array([zlib.compress(np.array(ids, np.int64).tobytes(), 1)], pa.binary()), "texts": pa.array([zlib.compress(SEPARATOR.join(t.replace(SEPARATOR, " ") for t in texts).encode(), 1)], pa.binary())})
-
+            t = pa.Table.from_batches(held).combine_chunks()
+            size = t.column("size").to_numpy()
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(size), -1)
+            surplus = size - np.bitwise_count(bits).sum(1, dtype=np.int64)
+            texts = SEPARATOR.join(x.replace(SEPARATOR, " ") for x in t.column("text").to_pylist())
+            return pa.RecordBatch.from_pylist(
+                [{"tile": (part << 24) + number // per_tile, "low": int(size.min()), "high": int(size.max()), "surplus": int(surplus.max()), "bits": np.bitwise_or.reduce(bits).tobytes(), "ids": _zip(t.column("id").to_numpy()), "sizes": _zip(size), "leaves": bits.tobytes(), "texts": _zip(texts)}],
+                schema=pa.schema([("tile", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("surplus", pa.int64()), *((c, pa.binary()) for c in ("bits", "ids", "sizes", "leaves", "texts"))]),
+            )
+
+        n = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                if len(ids) == block:
+            at = 0
+            while at < b.num_rows:
+                piece = b.slice(at, block - n)
+                held.append(piece)
+                n += piece.num_rows
+                at += piece.num_rows
+                if n == block:
                     yield out()
-                    ids, texts, number = [], [], number + 1
-        if ids:
+                    held, n, number = [], 0, number + 1
+        if n:
             yield out()
 
     return run
 
 
-def similar_groups(df: DataFrame, id_col: str, text: Column, least: float, width: int, block: int = 8192) -> DataFrame:
+def _level(table: pa.Table) -> Level:
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+    return Level(bits.T, *(table.column(c).to_numpy() for c in ("low", "high", "surplus")))
+
+
+def tile_pairs(summaries: DataFrame, least: float, n: int) -> DataFrame:
+    """(lo, hi): tiles of which at least one pair of blocks may have alike records. summaries: one row for each block (tile, low, high, surplus, bits).
+
+    The upper levels of the trees: summaries are put in groups of about SUMMARIES blocks, and each pair of groups is a
+    task that traverses tiles against tiles, then blocks against blocks. Only pairs of numbers come out.
+    """
+    groups = max(1, -(-n // SUMMARIES))
+    g = F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int")
+    sent = summaries.withColumn("g", g).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(F.least("g", "j").alias("a"), F.greatest("g", "j").alias("b"), "g", "tile", "low", "high", "surplus", "bits")
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("tile")
+        g = t.column("g").to_numpy()
+        sides = []
+        for side in (g.min(), g.max()):
+            mine = t.filter(pa.array(g == side))
+            blocks, tile = _level(mine), mine.column("tile").to_numpy()
+            first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            sides.append((blocks, blocks.above(first), tile[first], np.append(first, len(tile))))
+        (bx, tx, nx, fx), (by, ty, ny, fy) = sides
+        lo, hi = [], []
+        for at in range(0, len(tx), BUNCH):
+            for i, j in zip(*meeting(tx, ty, least, np.arange(at, min(at + BUNCH, len(tx))), None), strict=True):
+                if len(meeting(bx, by, least, np.arange(fx[i], fx[i + 1]), np.arange(fy[j], fy[j + 1]))[0]):
+                    lo.append(min(nx[i], ny[j]))
+                    hi.append(max(nx[i], ny[j]))
+        return pa.table({"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
+
+    return sent.groupBy("a", "b").applyInArrow(meet, "lo long, hi long").distinct()
+
+
+def similar_groups(df: DataFrame, id_col: str, text: Column, least: float, width: int, block: int = 4096, most_blocks: int = 8) -> DataFrame:
     """(id, group_id) of every row that is connected, through rows whose sets of ``width``-letter words have a Jaccard similarity of ``least`` or more, with a row of different text. group_id is the smallest id of the group.
 
     Exact copies of a text are folded first (``fold_copies``) and expanded at the end; the join sees each text once.
-    Texts are put in order of two minima of their hashed words, so that lookalikes become neighbours, and cut into blocks
-    of at most ``block``; a block is a signature tree. Every pair of blocks is one task, which traverses both trees at
-    once and keeps only what the bitmaps' largest possible overlap and the size ranges leave, checks these pairs
-    exactly, and returns a spanning forest of the links it found. No link between different texts is lost: what is left out is implied.
-    The number of bitmap comparisons grows with the square of the number of different texts (about 4 ns each).
+    Signature trees: texts are put in order of a band of their set's size and of two minima of their hashed words, so that
+    lookalikes become neighbours, and cut into blocks of at most ``block``; each block is a tree of bitmaps and size
+    ranges, and up to ``most_blocks`` of them are a tile (fewer where the tiles would be too few for all tasks). The trees
+    are traversed in pairs from the top: pairs of tiles and of blocks by their summaries alone (``tile_pairs``), and only
+    what they leave is sent to meet; there branches, nodes and leaves follow, by the largest overlap that the bitmaps
+    allow and by size ranges. What is left is checked exactly, and a spanning forest of the links comes out. No link between
+    different texts is lost: what is left out is implied.
+
+    Where few records look alike, ORs of bitmaps soon hold most bits and upper levels rule out by size only; then the
+    comparisons grow with the square of the number of different texts, and each text is sent to as many meetings as there
+    are tiles within its range of sizes.
 
     Texts shorter than ``width`` and nulls have no words and are in no group. Texts without a partner give no row, and
     neither do groups of copies of one text. Ties don't exist; an empty table gives no rows.
     """
     copies = fold_copies(df, id_col, text, text=True)
     spark = df.sparkSession
-    sketched = write_table(copies.groups.where(F.length("text") >= width).select(F.col("first_id").alias("id"), "text").mapInArrow(_sketch(width), "id long, text string, m1 long, m2 long"), "sketched")
-    n = sketched.count()
-    parts = max(1, -(-n // (4 * block)))
-    blocks = write_table(sketched.repartitionByRange(parts, "m1", "m2", "id").sortWithinPartitions("m1", "m2", "id").select("id", "text").mapInArrow(_pack(block), "b long, longest long, ids binary, texts binary"), "blocks")
-    # Blocks are numbered without a gap; this sorts one small row for each block of thousands of records.
-    numbered = write_table(blocks.select("b").withColumn("k", F.row_number().over(Window.orderBy("b")) - 1), "block-numbers")
-    nb = numbered.count()
-    with_k = blocks.join(F.broadcast(numbered), "b") if nb <= 100_000 else blocks.join(numbered, "b")
-    # Every block is sent to its meeting with every other one, and with itself.
-    sent = with_k.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(nb - 1, 0))))).select(F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "k", "ids", "texts")
+    texts = copies.groups.where(F.length("text") >= width).select(F.col("first_id").alias("id"), "text")
+    n, mean = texts.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.length("text")), F.lit(width))).first()
+    n_bits = 64 * int(max(2, -(-BITS_PER_WORD * (mean - width + 1) // 64)))
+    cores = spark.sparkContext.defaultParallelism
+    # tiles by which there are a few pairs for each core, and of at most most_blocks blocks
+    rows = int(min(block * most_blocks, max(1024, -(-n // max(1, round((6 * cores) ** 0.5))))))
+    block = min(block, rows)
+    sketched = write_table(texts.mapInArrow(_sketch(width, n_bits), "id long, text string, size long, m1 long, m2 long, bits binary"), "sketched")
+    band = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(least)))
+    order = [band.alias("band"), "m1", "m2", "id"]
+    ranged = sketched.repartitionByRange(max(1, -(-n // rows)), *order).sortWithinPartitions(*order).select("id", "text", "size", "bits")
+    blocks = write_table(ranged.mapInArrow(_pack(block, max(1, rows // block)), "tile long, low long, high long, surplus long, bits binary, ids binary, sizes binary, leaves binary, texts binary"), "blocks")
+    summaries = blocks.select("tile", "low", "high", "surplus", "bits")
+    pairs = write_table(tile_pairs(summaries, least, blocks.count()), "tile-pairs")
+    n_pairs = pairs.count()
+    both = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("tile"))
+    sent = both.join(blocks.select("tile", "ids", "sizes", "leaves", "texts"), "tile")
 
     def meet(table: pa.Table) -> pa.Table:
-        trees = {}
-        for k, ids, texts in zip(*(table.column(c).to_pylist() for c in ("k", "ids", "texts")), strict=True):
-            trees[k] = Tree(np.frombuffer(zlib.decompress(ids), np.int64), zlib.decompress(texts).decode().split(SEPARATOR), width)
-        x, y = trees[min(trees)], trees[max(trees)]
-        found = list(links(x, y, least, len(trees) == 1))
+        trees: dict[int, list[Tree]] = {}
+        for tile, ids, sizes, leaves, texts in zip(*(table.column(c).to_pylist() for c in ("tile", "ids", "sizes", "leaves", "texts")), strict=True):
+            ids = np.frombuffer(zlib.decompress(ids), np.int64)
+            tree = Tree(ids, np.frombuffer(zlib.decompress(sizes), np.int64), np.frombuffer(leaves, np.uint64).reshape(len(ids), -1), zlib.decompress(texts).decode().split(SEPARATOR), width)
+            trees.setdefault(tile, []).append(tree)
+        lo, hi = trees[min(trees)], trees[max(trees)]
+        one = len(trees) == 1
+        found = [link for i, x in enumerate(lo) for j, y in enumerate(hi) if not one or i <= j for link in links(x, y, least, one and i == j)]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    pairs = max(1, nb * (nb + 1) // 2)
-    edges = write_table(sent.repartition(min(pairs, 4000), "lo", "hi").groupBy("lo", "hi").applyInArrow(meet, "a long, b long"), "similar")
+    # about one meeting for a partition, as hashing puts some together; beyond 20,000 partitions each has several
+    edges = write_table(sent.repartition(int(min(max(1, 4 * n_pairs), 20_000)), "lo", "hi").groupBy("lo", "hi").applyInArrow(meet, "a long, b long"), "similar")
     groups = connected_components(edges, "a", "b")
     return copies.expand(copies.groups.drop("text").join(groups.withColumnRenamed("node", "first_id"), "first_id").select("k1", "k2", "n", F.col("root").alias("group_id")))

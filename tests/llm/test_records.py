@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions.text import bases, header_field
-from readloom.llm.components import connected_components
+from readloom.operators.components import connected_components
 from readloom.llm.duplicates import fold_copies, records
 from readloom.llm.frequent import frequent_values
 from readloom.llm.similar import similar_groups
