@@ -8,7 +8,7 @@ import sys
 import time
 
 HEADLINE = (
-    "qc_max_ee qc_report qc_paired derep_uniques derep_quals derep_pool seq_table_long seq_table_pivot quality_profile fn_kmer_dist seq_complexity phix_overlapping pair_merge_gapless chimera_vote chimera_full "
+    "qc_max_ee qc_report qc_paired derep_uniques derep_quals derep_pool seq_table_long seq_table_pivot quality_profile fn_kmer_dist seq_complexity phix_overlapping pair_merge_gapless chimera_vote "
     "trans_counts_gapless denoise tax_kmer_train tax_species_exact tax_classify p1_found p2_found p3_found p4_found p5_found p6_found p7_found p8_windows p9_found p10_found"
 ).split()
 

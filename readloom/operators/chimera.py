@@ -80,7 +80,7 @@ def _best(i: np.ndarray, v: np.ndarray, use: np.ndarray, n: int) -> pa.Array:
 def chimera_evidence(children: DataFrame, parents: DataFrame, min_fold: float, allow_one_off: bool = False, min_one_off_distance: int = 4, max_shift: int = 16, gapless: bool = False) -> DataFrame:
     """(sample, seq, n_parents, l, r, chimeric): what the best parent covers of a child from either side, and whether a left part of one parent and a right part of another make it up. Children without a parent have no row.
 
-    children, parents: (sample, seq, abundance). A parent that covers all of the child alone is no evidence. With
+    children, parents: (sample, seq, abundance). An empty sequence is no chimera. A parent that covers all of the child alone is no evidence. With
     allow_one_off one difference may be stepped over, in parents with at least min_one_off_distance differences.
 
     First each pair gets a bound of what any alignment could cover (``most_covered``): a child whose bounds don't add up
@@ -139,7 +139,7 @@ def chimera_evidence(children: DataFrame, parents: DataFrame, min_fold: float, a
 
     near = _in_blocks(open_, parents, measure, "sample string, seq string, " + ", ".join(f"{c} long" for c in covers))
     best = near.groupBy("sample", "seq").agg(*[F.max(c).alias(c) for c in covers])
-    hit = (F.col("l") + F.col("r") >= n) | (F.col("fl") + F.col("ro") >= n) | (F.col("lo") + F.col("fr") >= n)
+    hit = (n > 0) & ((F.col("l") + F.col("r") >= n) | (F.col("fl") + F.col("ro") >= n) | (F.col("lo") + F.col("fr") >= n))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c)
     return bounds.select("sample", "seq", "n_parents").join(best.select("sample", "seq", "l", "r", hit.alias("_hit")), ["sample", "seq"], "left").select("sample", "seq", "n_parents", none("l"), none("r"), F.coalesce("_hit", F.lit(False)).alias("chimeric"))
 

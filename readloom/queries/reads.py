@@ -61,7 +61,10 @@ def _phix(spark, d):
     return reads(spark, d).where(qc.contaminated(F.col("seq"), GENOME, non_overlapping=False)).select("read_idx", F.lit(True).alias("hit"))
 
 
-@query("phix_nonoverlapping")
+@query("phix_nonoverlapping", f"""with recursive {R}, g as (select 1 strand, '{GENOME}' s union all select 2, reverse(translate('{GENOME}', 'ACGT', 'TGCA'))), w as (select distinct strand, substr(concat(s, substr(s, 1, 15)), i, 16) x from g, unnest(range(1, {len(GENOME)} + 1)) t(i)),
+h as (select read_idx, strand, list(p) ps from (select read_idx, seq, unnest(range(1, length(seq) - 14)) p from r) k join w on w.x = substr(seq, p, 16) group by 1, 2),
+c as (select read_idx, strand, ps, list_min(ps) now, 1 n from h union all select read_idx, strand, ps, list_min(list_filter(ps, lambda p: p > now + 16)), n + 1 from c where len(list_filter(ps, lambda p: p > now + 16)) > 0)
+select read_idx, true hit from c group by read_idx having max(n) >= 2""")
 def _phix2(spark, d):
     return reads(spark, d).where(qc.contaminated(F.col("seq"), GENOME)).select("read_idx", F.lit(True).alias("hit"))
 
@@ -175,43 +178,38 @@ def _table_long(spark, d):
     return t.join(D.column_order(t).select("seq", "col"), "seq").select("sample", "seq", "abundance", "col")
 
 
-@query("seq_table_pivot", f"with {TABLE} select seq, {', '.join(f'cast(coalesce(sum(abundance) filter (where sample = {chr(39)}S{i:06d}{chr(39)}), 0) as bigint) S{i:06d}' for i in range(8))} from t where sample < 'S000008' group by seq")
-def _pivot(spark, d):
-    names = [f"S{i:06d}" for i in range(8)]
-    return D.pivot_samples(seq_table(spark, d).where(F.col("sample") < "S000008"), names)
+def _samples(spark: SparkSession, d: str) -> list[str]:
+    """The names of all samples, one for each column of the result."""
+    return sorted(r[0] for r in spark.read.parquet(f"{d}/samples.parquet").where("sample is not null").select("sample").distinct().collect())
 
 
-@query("seq_table_pivot_all")
-def _pivot_all(spark, d):
+@query("seq_table_pivot")
+def _pivot(spark, d):
     """All samples, in the order of their names."""
-    names = sorted(r[0] for r in spark.read.parquet(f"{d}/samples.parquet").where("sample is not null").select("sample").distinct().collect())  # one for each column of the result
-    return D.pivot_samples(seq_table(spark, d), names)
+    return D.pivot_samples(seq_table(spark, d), _samples(spark, d))
 
 
-@query("seq_table_merge_all")
-def _merge_all(spark, d):
-    """Two whole tables."""
-    t = seq_table(spark, d)
-    return D.merge_tables([t, t], repeats="sum")
+@query("export_otu_matrix", f"with {TABLE}, q as (select distinct seq from t), s as (select distinct sample from samples where sample is not null) select q.seq otu, s.sample, cast(coalesce(t.abundance, 0) as bigint) abundance from q cross join s left join t on t.seq = q.seq and t.sample = s.sample")
+def _otu_matrix(spark, d):
+    """The matrix of all samples by all sequences, cell by cell (SQL can't name a column for each sample)."""
+    names = _samples(spark, d)
+    wide = D.pivot_samples(seq_table(spark, d), names)
+    return wide.unpivot("seq", names, "sample", "abundance").withColumnRenamed("seq", "otu")
 
 
-@query("seq_table_merge_rc_all")
-def _merge_rc_all(spark, d):
-    t = seq_table(spark, d)
-    return D.merge_tables([t, t.withColumn("seq", S.reverse_complement(F.col("seq")))], repeats="sum", try_rc=True)
-
-
-@query("seq_table_merge", f"with {TABLE} select sample, seq, cast(sum(abundance) as bigint) abundance from (select * from t union all select * from t where sample < 'S000010') group by 1, 2")
+@query("seq_table_merge", f"with {TABLE} select sample, seq, cast(sum(abundance) as bigint) abundance from (select * from t union all select concat('B', sample), seq, abundance from t union all select * from t) group by 1, 2")
 def _merge(spark, d):
+    """Whole tables: one is added to its own samples, one brings new ones."""
     t = seq_table(spark, d)
-    return D.merge_tables([t, t.where(F.col("sample") < "S000010")], repeats="sum")
+    other = t.withColumn("sample", F.concat(F.lit("B"), "sample"))
+    return D.merge_tables([D.merge_tables([t, other]), t], repeats="sum")
 
 
-@query("seq_table_merge_rc", f"""with {TABLE}, x as (select * from t union all select sample, reverse(translate(seq, 'ACGT', 'TGCA')), abundance from t where sample < 'S000010'), m as (select sample, seq, sum(abundance) abundance from x group by 1, 2), o as (select seq, sum(abundance) total from m group by 1),
+@query("seq_table_merge_rc", f"""with {TABLE}, x as (select * from t union all select sample, reverse(translate(seq, 'ACGT', 'TGCA')), abundance from t), m as (select sample, seq, sum(abundance) abundance from x group by 1, 2), o as (select seq, sum(abundance) total from m group by 1),
 e as (select a.seq, b.seq mate from o a join o b on b.seq = reverse(translate(a.seq, 'ACGT', 'TGCA')) where b.total > a.total or b.total = a.total and b.seq < a.seq) select sample, coalesce(mate, m.seq) seq, cast(sum(abundance) as bigint) abundance from m left join e using (seq) group by 1, 2""")
 def _merge_rc(spark, d):
     t = seq_table(spark, d)
-    return D.merge_tables([t, t.where(F.col("sample") < "S000010").withColumn("seq", S.reverse_complement(F.col("seq")))], repeats="sum", try_rc=True)
+    return D.merge_tables([t, t.withColumn("seq", S.reverse_complement(F.col("seq")))], repeats="sum", try_rc=True)
 
 
 @query("prevalence_priors", f"with {TABLE} select seq, count(distinct sample) n_samples, cast(sum(abundance) as bigint) total from t group by 1 having count(distinct sample) >= 2")
@@ -248,8 +246,10 @@ def _fasta_ids(spark, d):
 
 @query("collapse_identical", f"with {TABLE} select sample, seq, cast(2 * abundance as bigint) abundance from t")
 def _collapse_identical(spark, d):
+    from readloom.operators.chimera import collapse_no_mismatch
+
     t = seq_table(spark, d)
-    return D.sequence_table(t.unionByName(t))
+    return collapse_no_mismatch(t.unionByName(t), identical_only=True)
 
 
 def queries() -> dict:

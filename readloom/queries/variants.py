@@ -13,6 +13,7 @@ from readloom.kernels.poisson import tail
 from readloom.operators import chimera, derep, packed, pairs, primers, qc
 from readloom.operators import taxonomy as T
 from readloom.queries.reads import OTHER, PAIRS, TABLE, R, reads, seq_table
+from readloom.queries.alignment_sql import INDELS, MATCHES, MISMATCHES, alignments, covered
 from readloom.queries.reads import pairs as mates
 
 QUERIES: dict = {}
@@ -32,52 +33,103 @@ def query(name: str, sql: str | None = None):
 # --- pairs
 
 
-@query("pair_table", f"with {PAIRS} select sample, f, r, count(*) n from p where f is not null group by 1, 2, 3")
-def _pair_table(spark, d):
-    return mates(spark, d).where("f is not null").groupBy("sample", "f", "r").agg(F.count(F.lit(1)).alias("n"))
+#: Mates filtered each by itself, so that some are lost; and clusters of each side by a rule that SQL can state: sequences of a sample with the same first 30 letters go to the most abundant of them, those found once with no other to none.
+_MATES = f"""{PAIRS}, fw as (select sample, read_idx, f seq from p where f is not null and not regexp_matches(f, 'N')), rv as (select sample, read_idx, r seq from p where r is not null and not regexp_matches(r, 'N') and list_sum(list_transform(rq, lambda x: pow(10.0, -x / 10.0))) <= 2.0),
+fu as (select sample, seq, count(*) n, 'f' side from fw group by 1, 2), ru as (select sample, seq, count(*) n, 'r' side from rv group by 1, 2), uu as (select * from fu union all select * from ru),
+un as (select *, substr(seq, 1, 30) w, first_value(seq) over k center, first_value(n) over k n0, sum(n) over (partition by side, sample, substr(seq, 1, 30)) total from uu window k as (partition by side, sample, substr(seq, 1, 30) order by n desc, seq)),
+mp as (select side, sample, seq, case when total > 1 then w end cluster, center, n0 from un),
+ct as (select fw.sample, f.cluster forward, r.cluster reverse, count(*) abundance from fw join rv using (sample, read_idx) join mp f on f.side = 'f' and f.sample = fw.sample and f.seq = fw.seq join mp r on r.side = 'r' and r.sample = rv.sample and r.seq = rv.seq group by 1, 2, 3)"""
 
 
-def _merge_input(spark, d):
-    return mates(spark, d).select("sample", "f", "r", F.lit(1).alias("n0_f"), F.lit(1).alias("n0_r"))
+def _sides(spark, d) -> list[DataFrame]:
+    """Reads, clusters and map of both sides."""
+    out = []
+    p = mates(spark, d)
+    w = Window.partitionBy("sample", "cluster")
+    for side, keep in (("f", F.lit(True)), ("r", S.expected_errors(F.col("rq")) <= 2.0)):
+        reads = p.where(F.col(side).isNotNull() & ~F.col(side).contains("N") & keep).select("sample", "read_idx", F.col(side).alias("seq"))
+        u = reads.groupBy("sample", "seq").agg(F.count(F.lit(1)).alias("n")).withColumn("cluster", F.substring("seq", 1, 30))
+        u = u.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n"), "seq")), "total": F.sum("n").over(w)}).where("total > 1")
+        clusters = u.where("rank = 1").select("sample", "cluster", F.col("seq").alias("sequence"), F.col("n").alias("n0"), F.col("total").alias("abundance"))
+        out += [reads, clusters, u.select("sample", "seq", "cluster")]
+    return out
 
 
-@query("pair_concatenate", f"with {PAIRS} select sample, concat(f, 'NNNNNNNNNN', reverse(translate(r, 'ACGTN', 'TGCAN'))) sequence, count(*) abundance from p where f is not null group by 1, 2")
-def _pair_concatenate(spark, d):
-    return pairs.merge_pairs(_merge_input(spark, d), just_concatenate=True).groupBy("sample", "sequence").agg(F.sum("abundance").alias("abundance"))
+@query("pair_clusters", f"with {_MATES} select * from ct")
+def _pair_clusters(spark, d):
+    fwd, _, fwd_map, rev, _, rev_map = _sides(spark, d)
+    return pairs.cluster_pairs(fwd, fwd_map, rev, rev_map)
+
 
+_PAIRED = f"""{_MATES}, ce as (select distinct side, sample, cluster, center, n0 from mp where cluster is not null),
+cp as (select ct.*, f.center f, reverse(translate(r.center, 'ACGT', 'TGCA')) rc, r.center r, case when r.n0 > f.n0 then 2 else 1 end prefer from ct join ce f on f.side = 'f' and f.sample = ct.sample and f.cluster = forward join ce r on r.side = 'r' and r.sample = ct.sample and r.cluster = reverse),
+pq as (select distinct f a, rc b from cp)"""
+_CONSENSUS = f"""array_to_string(list_transform(range(length(al0) - length(ltrim(al0, '-')) + 1, length(rtrim(al1, '-')) + 1), lambda i: case when al0[i] = '-' then al1[i] when al1[i] = '-' or prefer = 1 then al0[i] else al1[i] end), '')"""
 
-@query("pair_merge_gapless", f"with {PAIRS} select sample, concat(f, substr(reverse(translate(r, 'ACGTN', 'TGCAN')), 25)) sequence, count(*) abundance, 24 nmatch, 0 nmismatch, 0 nindel from p where f is not null group by 1, 2")
+
+@query("pair_merge", f"with recursive {_PAIRED}, {alignments('pq', 1, -8, -8)}, ev as (select *, {MATCHES} nmatch, {MISMATCHES} nmismatch, {INDELS} nindel from al), mg as (select *, nmatch >= 12 and nmismatch + nindel <= 1 accept from cp join ev on f = a and rc = b) select sample, case when accept then {_CONSENSUS} else '' end sequence, abundance, forward, reverse, nmatch, nmismatch, nindel, prefer, accept from mg")
 def _pair_merge(spark, d):
-    m = pairs.merge_pairs(_merge_input(spark, d), return_rejects=True)
-    return m.groupBy("sample", "sequence").agg(F.sum("abundance").alias("abundance"), F.min("nmatch").alias("nmatch"), F.max("nmismatch").alias("nmismatch"), F.max("nindel").alias("nindel"))
+    return pairs.merge_denoised(*_sides(spark, d), max_mismatch=1, trim_overhang=True, return_rejects=True)
+
 
+@query("pair_merge_strict", f"with recursive {_PAIRED}, {alignments('pq', 1, -64, -64)}, ev as (select *, {MATCHES} nmatch, {MISMATCHES} nmismatch, {INDELS} nindel from al) select sample, array_to_string(list_transform(range(1, length(al0) + 1), lambda i: case when al0[i] = '-' then al1[i] else al0[i] end), '') sequence, cast(sum(abundance) as bigint) abundance from cp join ev on f = a and rc = b where nmatch >= 12 and nmismatch + nindel = 0 group by 1, 2")
+def _pair_merge_strict(spark, d):
+    """Without a difference; several pairs of clusters may make one sequence."""
+    return pairs.merge_denoised(*_sides(spark, d)).groupBy("sample", "sequence").agg(F.sum("abundance").alias("abundance"))
 
-@query("pair_merge")
-def _pair_merge_loose(spark, d):
-    return pairs.merge_pairs(_merge_input(spark, d), max_mismatch=1, trim_overhang=True)
+
+@query("pair_concatenate", f"with {_PAIRED} select cp.sample, concat(cp.f, 'NNNNNNNNNN', rc) sequence, abundance, f.n0 f_n0, r.n0 r_n0 from cp join ce f on f.side = 'f' and f.sample = cp.sample and f.cluster = forward join ce r on r.side = 'r' and r.sample = cp.sample and r.cluster = reverse")
+def _pair_concatenate(spark, d):
+    out = pairs.merge_denoised(*_sides(spark, d), just_concatenate=True, propagate=["n0", "absent"])
+    return out.select("sample", "sequence", "abundance", F.col("F_n0").alias("f_n0"), F.col("R_n0").alias("r_n0"))
+
+
+def _merge_input(spark, d):
+    return mates(spark, d).select("sample", "f", "r", F.lit(1).alias("n0_f"), F.lit(1).alias("n0_r"))
+
+
+@query("pair_merge_gapless", f"with recursive {PAIRS}, c as (select sample, f, reverse(translate(r, 'ACGTN', 'TGCAN')) rc, count(*) abundance from p where f is not null group by 1, 2, 3), pq as (select distinct f a, rc b from c), {alignments('pq', 1, -64, -64)}, ev as (select *, {MATCHES} nmatch, {MISMATCHES} nmismatch, {INDELS} nindel from al) select sample, concat(f, substr(rc, nmatch + 1)) sequence, cast(sum(abundance) as bigint) abundance, nmatch, nmismatch, nindel from c join ev on f = a and rc = b group by all")
+def _pair_merge_gapless(spark, d):
+    """Mates of one read, whose overlap agrees."""
+    m = pairs.merge_pairs(_merge_input(spark, d), return_rejects=True)
+    return m.groupBy("sample", "sequence", "nmatch", "nmismatch", "nindel").agg(F.sum("abundance").alias("abundance"))
 
 
 def _seqs(spark, d) -> DataFrame:
     return reads(spark, d).where("seq is not null").select("seq").distinct()
 
 
-@query("nw_align")
+def _against(b: str) -> str:
+    return f"sq as (select distinct seq a, '{b}' b from reads where seq is not null)"
+
+
+@query("nw_align", f"with recursive {_against(OTHER[4:92])}, {alignments('sq', band=16)} select a seq, al0, al1 from al")
 def _nw(spark, d):
     al = pairs.nw_align(F.col("seq"), F.substring(F.lit(OTHER), 5, 88), band=16)
     return _seqs(spark, d).select("seq", al.alias("a")).select("seq", "a.al0", "a.al1")
 
 
-@query("nw_hamming")
+@query("nw_counts", f"with recursive {_against(OTHER)}, {alignments('sq', band=16)} select a seq, {MATCHES} nmatch, {MISMATCHES} nmismatch, {INDELS} nindel from al")
+def _nwc(spark, d):
+    return _seqs(spark, d).select("seq", pairs.pair_counts(F.col("seq"), F.lit(OTHER), band=16).alias("c")).select("seq", F.col("c.match").alias("nmatch"), F.col("c.mismatch").alias("nmismatch"), F.col("c.indel").alias("nindel"))
+
+
+@query("nw_hamming", f"with recursive {_against(OTHER)}, {alignments('sq', band=16)} select a seq, {MISMATCHES} + {INDELS} ham from al")
 def _nwh(spark, d):
     return _seqs(spark, d).select("seq", pairs.nw_hamming(F.col("seq"), F.lit(OTHER), band=16).alias("ham"))
 
 
-@query("nw_homopolymer")
+@query("nw_homopolymer", f"with recursive {_against(OTHER)}, {alignments('sq', homo=-1, band=16)} select a seq, al0, al1 from al")
 def _nwhomo(spark, d):
     al = pairs.nw_align(F.col("seq"), F.lit(OTHER), homo_gap=-1, band=16)
     return _seqs(spark, d).select("seq", al.alias("a")).select("seq", "a.al0", "a.al1")
 
 
+@query("nw_extract", f"with recursive {_against(OTHER[10:80])}, sw as (select b a, a b from sq), {alignments('sw')} select b seq, replace(substr(al1, length(al0) - length(ltrim(al0, '-')) + 1, length(trim(al0, '-'))), '-', '') part from al")
+def _nwextract(spark, d):
+    return _seqs(spark, d).select("seq", pairs.extract_aligned(F.lit(OTHER[10:80]), F.col("seq")).alias("part"))
+
+
 @query("primer_trim")
 def _primer(spark, d):
     out = primers.remove_primers(reads(spark, d), "TCTACGCCGGTGCAAYCA", max_mismatch=2)
@@ -105,19 +157,26 @@ def _gapless(spark, d):
     return chimera.chimera_evidence(t, t.where("abundance >= 2"), 1.5, gapless=True)
 
 
-@query("chimera_vote")
+_VOTES = f"""{_PARENTS}, dp as (select distinct child a, parent b from pp), {alignments('dp', band=16)},
+cv as (select a child, b parent, {covered('al0', 'al1', 16)} l, {covered('reverse(al0)', 'reverse(al1)', 15)} r from al),
+fl as (select sample, child seq, max(case when l + r < length(child) then l else 0 end) + max(case when l + r < length(child) then r else 0 end) >= length(child) hit from pp join cv using (child, parent) group by 1, 2, length(child)),
+vt as (select seq, count(*) filter (where coalesce(hit, false)) n_flagged, count(*) n_samples from t left join fl using (sample, seq) group by 1),
+vo as (select *, n_flagged >= n_samples or n_flagged > 0 and n_flagged >= (n_samples - 1) * 0.9 chimeric from vt)"""
+
+
+@query("chimera_vote", f"with recursive {_VOTES} select seq, n_flagged, n_samples, chimeric from vo")
 def _vote(spark, d):
     return chimera.chimera_votes(seq_table(spark, d))
 
 
-@query("chimera_remove")
+@query("chimera_remove", f"with recursive {_VOTES} select sample, seq, cast(abundance as bigint) abundance from t where seq not in (select seq from vo where chimeric)")
 def _remove(spark, d):
     return chimera.remove_chimeras(seq_table(spark, d))
 
 
-@query("chimera_full")
-def _full(spark, d):
-    return chimera.chimera_votes(seq_table(spark, d))
+@query("chimera_per_sample")
+def _per_sample(spark, d):
+    return chimera.remove_chimeras(seq_table(spark, d), "per-sample")
 
 
 @query("chimera_denovo_one_off")
@@ -126,17 +185,29 @@ def _denovo(spark, d):
     return chimera.chimeras_denovo(pooled, allow_one_off=True)
 
 
-@query("shift_denovo")
+_NEAR = """nr as (select x.seq a, y.seq b from s x join s y on x.seq <> y.seq and contains(y.seq, x.seq) where length(x.seq) >= 20
+union select a, b from (select seq a, n, left(seq, n) h from s, lateral (select unnest(range(20, length(seq))) n)) join (select seq b, n, right(seq, n) h from s, lateral (select unnest(range(20, length(seq))) n)) using (n, h) where a <> b),
+md as (select distinct case when (-x.total, x.seq) < (-y.total, y.seq) then b else a end a, case when (-x.total, x.seq) < (-y.total, y.seq) then a else b end b from nr join s x on x.seq = a join s y on y.seq = b)"""
+
+
+@query("shift_denovo", f"""with recursive {TABLE}, s as (select seq, sum(abundance) total from t group by 1), {_NEAR}, mo as (select a, b from md join s x on x.seq = a join s y on y.seq = b where y.total > x.total), {alignments('mo')},
+hit as (select distinct a from al where {MATCHES} >= 20 and {MISMATCHES} + {INDELS} = 0 and {MATCHES} < length(a) and {MATCHES} < length(b))
+select seq, seq in (select a from hit) shifted from s""")
 def _shift(spark, d):
     pooled = seq_table(spark, d).groupBy("seq").agg(F.sum("abundance").alias("abundance"))
     return chimera.shifted(pooled)
 
 
-@query("collapse_no_mismatch")
+@query("collapse_no_mismatch", f"""with recursive {TABLE}, u as (select sample, seq, sum(abundance) abundance from (select * from t union all select sample, substr(seq, 1, 80), abundance from t) group by 1, 2), s as (select seq, sum(abundance) total from u group by 1), {_NEAR}, {alignments('md')},
+rk as (select seq, row_number() over (order by total desc, seq) k from s), ln as (select c.k, list(p.k) parents from al join rk c on c.seq = a join rk p on p.seq = b where {MISMATCHES} + {INDELS} = 0 group by 1),
+al_k as (select rk.k, coalesce(parents, []) parents from rk left join ln using (k)),
+gr(k, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all select gr.k + 1, case when list_has_any(parents, kept) then kept else list_append(kept, gr.k + 1) end from gr join al_k on al_k.k = gr.k + 1),
+fin as (select kept from gr order by k desc limit 1), go as (select k, coalesce(list_min(list_intersect(parents, kept)), k) into_k from al_k, fin)
+select sample, x.seq, cast(sum(abundance) as bigint) abundance from u join rk on rk.seq = u.seq join go using (k) join rk x on x.k = into_k group by 1, 2""")
 def _collapse(spark, d):
+    """A table that also has every sequence cut to its first 80 letters."""
     t = seq_table(spark, d)
-    short = t.where(F.pmod(F.crc32(F.col("seq").cast("binary")), F.lit(3)) == 0).withColumn("seq", F.substring("seq", 1, 80))
-    return chimera.collapse_no_mismatch(derep.merge_tables([t, short], repeats="sum"))
+    return chimera.collapse_no_mismatch(derep.merge_tables([t, t.withColumn("seq", F.substring("seq", 1, 80))], repeats="sum"))
 
 
 # --- error rates
@@ -205,14 +276,14 @@ def _lambda(spark, d):
     return reads(spark, d).where("qual is not null").select("read_idx", F.round(derep.gapless_log_rate(F.col("seq"), F.col("qual"), OTHER), 4).alias("log_rate"))
 
 
-@query("poisson_pvalue", f"with {TABLE}, u as (select sample, seq, abundance k, sum(abundance) over (partition by sample) * 0.002 m from t) select sample, seq, round(case when k > 30 then 0 else greatest(0, 1 - list_sum(list_transform(range(0, k), lambda i: exp(-m + i * ln(m) - lgamma(i + 1))))) end, 6) p from u")
+@query("poisson_pvalue", f"with {TABLE}, u as (select sample, seq, abundance k, sum(abundance) over (partition by sample) * 0.002 m from t) select sample, seq, round(greatest(0, 1 - list_sum(list_transform(range(0, k), lambda i: exp(-m + i * ln(m) - lgamma(i + 1))))), 6) p from u")
 def _poisson(spark, d):
     @F.pandas_udf("double")
     def p(k: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series(tail(k.to_numpy(), m.to_numpy()))
 
     t = seq_table(spark, d).withColumn("m", F.sum("abundance").over(Window.partitionBy("sample")) * 0.002)
-    return t.select("sample", "seq", F.round(F.when(F.col("abundance") > 30, 0.0).otherwise(p(F.col("abundance"), F.col("m"))), 6).alias("p"))
+    return t.select("sample", "seq", F.round(p(F.col("abundance"), F.col("m")), 6).alias("p"))
 
 
 # --- denoising

@@ -17,11 +17,12 @@ def test_all_samples(spark, tmp_path):
     _store_reads(spark, tmp_path, data)
     _store(spark, tmp_path, "samples", [(n,) for n in names], "sample string")
     n = Counter(data)
-    wide = queries()["seq_table_pivot_all"](spark, str(tmp_path))
+    wide = queries()["seq_table_pivot"](spark, str(tmp_path))
     assert wide.columns == ["seq", *names]
     assert rows(wide) == sorted((q, *[n[s, q] for s in names]) for q in {q for _, q in data})
     twice = sorted((s, q, 2 * k) for (s, q), k in n.items())
-    assert rows(queries()["seq_table_merge_all"](spark, str(tmp_path)).select("sample", "seq", "abundance")) == twice
+    new = sorted(("B" + s, q, k) for (s, q), k in n.items())
+    assert rows(queries()["seq_table_merge"](spark, str(tmp_path)).select("sample", "seq", "abundance")) == sorted(twice + new)
     # of a sequence and its reverse complement, equally abundant, the first in order stays
     first = lambda q: min(q, q[::-1].translate(str.maketrans("ACGT", "TGCA")))
-    assert rows(queries()["seq_table_merge_rc_all"](spark, str(tmp_path)).select("sample", "seq", "abundance")) == sorted((s, first(q), k) for s, q, k in twice)
+    assert rows(queries()["seq_table_merge_rc"](spark, str(tmp_path)).select("sample", "seq", "abundance")) == sorted((s, first(q), k) for s, q, k in twice)
