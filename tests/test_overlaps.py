@@ -73,8 +73,8 @@ def test_denoised_mates(spark):
     rng = random.Random(4)
     x = "".join(rng.choices("ACGT", k=60))
     f, r = x[:40], rc(x[20:])
-    bad = ("C" if x[20] != "C" else "G") + x[21:]
-    r2 = rc(bad)  # differs where the forward mate has its 21st letter
+    bad = x[20:30] + ("C" if x[30] != "C" else "G") + x[31:]
+    r2 = rc(bad)  # differs within the overlap
     fwd = spark.createDataFrame([("s", i, f) for i in range(5)] + [("s", 5, f[:-1] + "N"), ("s", 6, f)], "sample string, read_idx long, seq string")
     rev = spark.createDataFrame([("s", 0, r), ("s", 1, r), ("s", 2, r2), ("s", 3, r2), ("s", 5, r), ("s", 6, "A" * 40), ("s", 9, r)], "sample string, read_idx long, seq string")
     clusters = lambda *seqs: spark.createDataFrame([("s", k + 1, s, n, k * 0.5) for k, (s, n) in enumerate(seqs)], "sample string, cluster int, sequence string, n0 long, pval double")
@@ -88,7 +88,7 @@ def test_denoised_mates(spark):
     assert (got[1].sequence, got[1].abundance, got[1].nmatch, got[1].accept, got[1].R_pval) == (x, 3, 20, True, 0.0)
     assert (got[2].sequence, got[2].abundance, got[2].accept, got[2].prefer) == ("", 2, False, 2)
     loose = {row.reverse: row.sequence for row in pairs.merge_denoised(*sides, max_mismatch=1).collect()}
-    assert loose == {1: x, 2: x[:20] + bad[0] + x[21:]}
+    assert loose == {1: x, 2: x[:20] + bad}
     joined = pairs.merge_denoised(*sides, just_concatenate=True).collect()
     assert {row.sequence for row in joined} == {f + "N" * 10 + x[20:], f + "N" * 10 + bad} and all(row.prefer is None for row in joined)
     assert pairs.merge_denoised(*(t.limit(0) for t in sides)).count() == 0
