@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom import errors as E
+from readloom.cluster import write_table
 from readloom.functions import seq as S
+from readloom.functions.text import bases
 from readloom.kernels.poisson import tail
 from readloom.operators import chimera, derep, packed, pairs, primers, qc
 from readloom.operators import taxonomy as T
@@ -360,19 +362,37 @@ def _match_genera(spark, d):
     return t.select("ref_id", S.genus_matches(tax, F.trim(F.regexp_extract(F.try_element_at(F.split("id", ";"), F.lit(6)), "^[^/_ ]*", 0))).alias("hit"))
 
 
+def variants(spark: SparkSession, d: str) -> DataFrame:
+    """All sequences of denoised clusters and of the merged tables: none of them is a reference."""
+    c, t = (spark.read.parquet(f"{d}/{name}.parquet").select(bases(F.col("sequence")).alias("seq")) for name in ("clustering", "makesequencetable"))
+    return c.unionByName(t).where("seq is not null").distinct()
+
+
 @query("tax_classify")
 def _classify(spark, d):
-    r = refs(spark, d)
-    return T.classify(r.select("seq"), r)
+    return T.classify(variants(spark, d), refs(spark, d))
 
 
 @query("tax_bootstrap")
 def _bootstrap(spark, d):
-    r = refs(spark, d)
-    out = T.classify(r.select("seq"), r, min_boot=0, try_rc=True)
+    out = T.classify(variants(spark, d), refs(spark, d), min_boot=0, try_rc=True)
     return out.groupBy("Phylum").agg(F.count(F.lit(1)).alias("n"), F.avg("boot_Genus").alias("mean_boot_genus"))
 
 
+@query("tax_heldout")
+def _heldout(spark, d):
+    """Each half of the references classified by the other half: of the sequences whose genus the other half has, how many got one and how many the right one."""
+    r = refs(spark, d).withColumns({"half": F.pmod(F.xxhash64("ref_id"), F.lit(2)), "genus": T.lineage(F.col("header"), 6)[5]})
+    r = write_table(r.where(F.col("genus") != T.UNSPECIFIED), "halves")
+    out = None
+    for half in (0, 1):
+        test, train = r.where(F.col("half") == half), r.where(F.col("half") != half)
+        truth = test.join(train.select("genus").distinct(), "genus", "left_semi").select("seq", "genus").distinct()
+        part = T.check_genus(T.classify(truth.select("seq"), train, min_boot=80), truth).select(F.lit(half).alias("half"), "n", "n_assigned", "n_right")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("tax_add_species", """with k as (select ref_id, trim(string_split(id, ';')[6]) g, trim(string_split(id, ';')[7]) s, upper(sequence) seq from reffasta where id is not null and sequence is not null), r as (select * from k where g <> '' and s <> ''),
 h as (select q.seq, list_sort(list_distinct(list(r.g))) gs, list_sort(list_distinct(list(r.s))) ss from (select distinct seq from r where regexp_matches(seq, '^[ACGT]*$') and length(seq) >= 16) q join r on contains(r.seq, q.seq) group by 1)
 select seq, case when len(gs) = 1 then gs[1] end genus, case when len(gs) = 1 and len(ss) = 1 then ss[1] end species from h""")
