@@ -45,12 +45,21 @@ select 'clustering', cast(abundance as varchar), count(*), cast(coalesce(sum(abu
 """
 
 
+#: Values with the separator before each: a literal where a value begins, then what belongs to values outside quotes.
+_IN = r"\p{L}\p{N} _\-./()\[\]"
+P5_SQL = rf"""with v as (select ref_id, regexp_extract_all(concat(';', id), '(?s)[^{_IN}]( *(?:"(?:[^"]|"")*"|''(?:[^'']|'''')*'')?[{_IN}]*)', 1) x from reffasta where length(id) > 0),
+u as (select ref_id, cast(unnest(range(1, len(x) + 1)) as int) pos, trim(unnest(x)) item from v),
+q as (select ref_id, pos, case left(item, 1) when '"' then concat(trim(replace(regexp_extract(item, '(?s)^"((?:[^"]|"")*)"', 1), '""', '"')), regexp_extract(item, '(?s)^"(?:[^"]|"")*"(.*)$', 1)) when '''' then concat(trim(replace(regexp_extract(item, '(?s)^''((?:[^'']|'''')*)''', 1), '''''', '''')), regexp_extract(item, '(?s)^''(?:[^'']|'''')*''(.*)$', 1)) else item end item from u)
+select ref_id, pos, trim(item) item from q where trim(item) <> ''"""
+
+
 def queries() -> dict:
     return {"p5_found": p5_found, "p7_found": p7_found, "p7_per_key": p7_per_key}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": P5_SQL,
         "p7_found": f"with k as ({P7_SQL}), n as (select 'derep' src, count(*) n from derep union all select 'clustering', count(*) from clustering) select k.src, k.\"key\" hot_key from k join n on k.src = n.src where k.n_rows >= 0.01 * n.n",
         "p7_per_key": P7_SQL,
     }

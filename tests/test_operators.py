@@ -145,13 +145,15 @@ def test_taxonomy(spark):
     assert hits == {seqs[0][:50]: ("Aus", None), seqs[1][:50]: ("Escherichia/Shigella", "x"), seqs[3]: (None, None)}
 
 
-def test_whole_references_are_classified(spark, tmp_path):
+def test_whole_variants_are_classified(spark, tmp_path):
     from readloom.queries.variants import queries
 
     rng = np.random.default_rng(6)
     seqs = ["".join(rng.choice(list("ACGT"), 220)) for _ in range(2)]
     seqs.append(seqs[0][:180] + seqs[1][:40])
     _store(spark, tmp_path, "reffasta", [(i, f"K;P;C;O;F;G{i}", s) for i, s in enumerate(seqs)], "ref_id long, id string, sequence string")
+    _store(spark, tmp_path, "clustering", [(s[:100].lower() + " " + s[100:],) for s in seqs[:2]] + [(None,)], "sequence string")
+    _store(spark, tmp_path, "makesequencetable", [(s,) for s in seqs], "sequence string")
     assert {r.seq for r in queries()["tax_classify"](spark, str(tmp_path)).collect()} == set(seqs)
     assert [(r.Phylum, r.n) for r in queries()["tax_bootstrap"](spark, str(tmp_path)).collect()] == [("P", 3)]
 
