@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,13 +136,13 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
             get = x.vocabulary.get
             for b in batches:
                 ids, found = b.column(0).to_numpy(), {}
-                parts, begin, at = [], [], 0
+                numbers: list[int] = []
+                begin, gap = [], [-1] * x.span
                 for t in b.column(1):
-                    w = [get(v, -1) for v in words(t.as_py())]
-                    begin.append(at)
-                    parts += [w, [-1] * x.span]
-                    at += len(w) + x.span
-                w = np.fromiter((v for p in parts for v in p), np.int64, at)
+                    begin.append(len(numbers))
+                    numbers.extend(map(get, words(t.as_py()), repeat(-1)))
+                    numbers.extend(gap)
+                at, w = len(numbers), np.array(numbers, np.int64)
                 begin = np.append(np.array(begin, np.int64), at)
                 for item, diagonal in x.hits(w):
                     lo, hi = x.starts[item], x.starts[item + 1] - x.span

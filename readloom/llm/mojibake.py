@@ -90,6 +90,16 @@ def _distinct_texts(df: DataFrame, text: str, group: str | None) -> DataFrame:
     return src.groupBy("h").agg(F.first("x").alias("x"), F.bit_or("folds").alias("folds")).select("x", "folds")
 
 
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+
+
+def lost_characters(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id): records whose text has a character that stands for one that was lost (U+FFFD), which no method can restore. Null and empty texts have none."""
+    return df.where(F.contains(F.col(text), F.lit(LOST))).select(F.col(id_col).cast("long").alias("id"))
+
+
 def pair_statistics(df: DataFrame, text: str, group: str | None = None) -> DataFrame:
     """(f, a, b, n): in how many different texts class a stands before class b, for pairs that aren't both ASCII; with b = -1, how many texts have class a, and with a = b = -1 how many there are. f = -1: of all texts; else of those that a group of fold f has. At most (FOLDS + 1) times (number of classes + 1) squared rows."""
 
@@ -117,9 +127,10 @@ def pair_statistics(df: DataFrame, text: str, group: str | None = None) -> DataF
                 u, n = np.unique(key[mine[owner]], return_counts=True)
                 keys.append(f * size + u)
                 counts.append(n)
+            if len(keys) > 64 * (FOLDS + 1):  # merged as they come, so no more is held than there are different pairs
+                keys, counts = ([v] for v in _added(keys, counts))
         if keys:
-            u, back = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+            u, n = _added(keys, counts)
             f, u = u // size, u % size
             single = u >= k * k
             yield pa.RecordBatch.from_arrays([pa.array((f - 1).astype(np.int32)), pa.array(np.where(single, u - k * k, u // k).astype(np.int32)), pa.array(np.where(single, -1, u % k).astype(np.int32)), pa.array(n)], ["f", "a", "b", "n"])

@@ -16,11 +16,13 @@ from readloom.cluster import write_table
 TOKENIZERS = "/opt/tokenizers"
 
 
-def token_counts(df: DataFrame, id_col: str, text: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """(id, n_tokens): tokens of each text under a byte-level BPE vocabulary given by its path. Special tokens' strings are ordinary text. Null and empty texts have 0."""
+def token_counts(df: DataFrame, id_col: str, text: str, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
+    """(id, n_tokens): tokens of each text under a byte-level BPE vocabulary given by its path on the driver. Special tokens' strings are ordinary text. Null and empty texts have 0."""
+
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(*vocabulary.value)
         for b in batches:
             n = [len(encoder.encode_ordinary(t.as_py() or "")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["id", "n_tokens"])
@@ -28,20 +30,24 @@ def token_counts(df: DataFrame, id_col: str, text: str, tokenizer: str = f"{TOKE
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_tokens long")
 
 
+def read_vocabulary(path: str, pattern: str | None = None) -> tuple[bytes, str]:
+    """The vocabulary file (a few MB, whatever the collection) and the pattern by which texts are cut before (that of the public vocabularies unless given). Read on the driver and sent with the job, so executors need no such file."""
+    with open(path, "rb") as f:
+        return f.read(), pattern or importlib.import_module("public_tokenizers").PATTERN
+
+
 _ENCODERS: dict = {}
 
 
-def _encoder(path: str):
-    if path not in _ENCODERS:
+def _encoder(ranks: bytes, pattern: str):
+    key = hash((ranks, pattern))
+    if key not in _ENCODERS:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = importlib.import_module("public_tokenizers").PATTERN
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        _ENCODERS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    return _ENCODERS[key]
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[int]:
@@ -144,22 +150,35 @@ def pack_windows(sizes: DataFrame, capacity: int) -> DataFrame:
             given[length] = first + n * times
             at += length * n
         window += times
-    lengths = "rest long, first long, last long, per long, w0 long, at long"
-    # For each length its ranges in order; a text finds its own by search. Its size depends on capacity alone.
-    ranges = spark.createDataFrame(table, lengths).groupBy("rest").agg(F.array_sort(F.collect_list(F.struct("first", "last", "per", "w0", "at"))).alias("ranges"))
+    # The ranges of all lengths in order; their number depends on capacity alone.
+    table.sort()
+    plan_of = spark.sparkContext.broadcast(np.array(table, np.int64).reshape(-1, 6).T)
     # One row for each partition in fulls.
     offsets = by_part.select("part", "rest", (F.sum("c").over(Window.partitionBy("rest").orderBy("part")) - F.col("c")).alias("offset"))
     own = offsets.where(F.col("rest") < capacity)
     fulls = offsets.where(F.col("rest") == capacity).select("part", F.col("offset").alias("full_offset"))
-    placed = rows.join(own, ["part", "rest"]).join(F.broadcast(fulls), "part").join(F.broadcast(ranges), "rest", "left")
-    k = F.col("rank") + F.col("offset")
-    hit = F.expr("filter(ranges, r -> k >= r.first and k < r.last)[0]")
-    placed = placed.withColumn("k", k).withColumn("r", hit)
-    step = F.floor((F.col("k") - F.col("r.first")) / F.col("r.per")).cast("long")
-    rest_piece = F.struct(
-        F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("token_from"), F.col("rest").alias("n_tokens"),
-        (F.col("r.w0") + step).alias("window_id"), (F.col("r.at") + (F.col("k") - F.col("r.first")) % F.col("r.per") * F.col("rest")).alias("window_from"),
-    )
-    full_pieces = F.transform(F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).otherwise(F.array().cast("array<long>")), lambda i: F.struct(i.cast("int").alias("piece"), (i * capacity).alias("token_from"), F.lit(capacity).cast("long").alias("n_tokens"), (F.col("before") + F.col("full_offset") + i).alias("window_id"), F.lit(0).cast("long").alias("window_from")))
+    placed = rows.join(own, ["part", "rest"]).join(F.broadcast(fulls), "part").select("id", "rest", "full", (F.col("before") + F.col("full_offset")).alias("before"), (F.col("rank") + F.col("offset")).alias("k"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The window of the k-th text of each length and where in it it begins, by a search among the ranges; null for length 0."""
+        length, first, last, per, w0, start = plan_of.value
+        # all items in order of length and number: those of shorter lengths come before
+        ends = np.flatnonzero(np.diff(np.append(length, -1)))
+        base = np.zeros(capacity + 1, np.int64)
+        base[length[ends]] = last[ends]
+        base = np.cumsum(base) - base
+        keys = base[length] + first
+        for b in batches:
+            rest, k = b.column(1).to_numpy(), b.column(4).to_numpy()
+            window, begin, known = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64), rest > 0
+            r, n = rest[known], k[known]
+            at = np.searchsorted(keys, base[r] + n, "right") - 1
+            step = n - first[at]
+            window[known], begin[known] = w0[at] + step // per[at], start[at] + step % per[at] * r
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(window, mask=~known), pa.array(begin, mask=~known)], ["id", "rest", "full", "before", "window", "begin"])
+
+    placed = placed.mapInArrow(place, "id long, rest long, full long, before long, window long, begin long")
+    rest_piece = F.struct(F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("token_from"), F.col("rest").alias("n_tokens"), F.col("window").alias("window_id"), F.col("begin").alias("window_from"))
+    full_pieces = F.transform(F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).otherwise(F.array().cast("array<long>")), lambda i: F.struct(i.cast("int").alias("piece"), (i * capacity).alias("token_from"), F.lit(capacity).cast("long").alias("n_tokens"), (F.col("before") + i).alias("window_id"), F.lit(0).cast("long").alias("window_from")))
     pieces = F.when((F.col("rest") > 0) | (F.col("full") == 0), F.concat(full_pieces, F.array(rest_piece))).otherwise(full_pieces)
     return placed.select("id", F.explode(pieces).alias("p")).select("id", "p.piece", "p.token_from", "p.n_tokens", "p.window_id", "p.window_from")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.cluster import write_table
@@ -55,8 +55,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_top(spark: SparkSession, d: str) -> DataFrame:
-    """The 25 most frequent values with their counts, and the bounds known before they were counted exactly."""
-    return frequent.frequent_values(table(spark, d, "derep"), "uniques", 25).withColumnRenamed("value", "uniques")
+    """The 25 most frequent values with their counts."""
+    return frequent.frequent_values(table(spark, d, "derep"), "uniques", 25).select(F.col("value").alias("uniques"), "n_rows")
 
 
 def _p4(spark: SparkSession, d: str) -> DataFrame:
@@ -93,6 +93,20 @@ def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_windows(write_table(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), "tokens"), WINDOW).withColumnRenamed("id", "doc_id")
 
 
+def p8_balance(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the windows: every document is placed, in one piece unless it is larger than a window; pieces of one document follow one another; no window holds more than fits, and no two pieces in it overlap."""
+    placed = write_table(p8_windows(spark, d), "windows")
+    docs = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("token_from") + F.col("n_tokens")).alias("end"), F.countDistinct("piece").alias("numbers"))
+    w = Window.partitionBy("window_id").orderBy("window_from")
+    inside = placed.where("window_id is not null").withColumn("before", F.lag(F.col("window_from") + F.col("n_tokens")).over(w))
+    wrong = lambda what, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    out = wrong("documents", docs)
+    out = out.unionByName(wrong("cut in vain", docs.where((F.col("n") <= WINDOW) & (F.col("pieces") > 1))))
+    out = out.unionByName(wrong("pieces apart", docs.where("n <> end or pieces <> numbers")))
+    out = out.unionByName(wrong("overfull", placed.where(F.col("window_from") + F.col("n_tokens") > WINDOW)))
+    return out.unionByName(wrong("overlapping", inside.where("window_from < before")))
+
+
 def _p9(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -110,6 +124,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text", "repo").select(F.col("id").alias("doc_id"))
 
 
+def p10_method(spark: SparkSession, d: str) -> DataFrame:
+    """Those found by pairs of characters and inverse mappings alone, without the texts that only have lost characters."""
+    return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text", "repo").where("how is not null").select(F.col("id").alias("doc_id"))
+
+
+def p10_lost(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in which characters were lost for good."""
+    return mojibake.lost_characters(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     """The garbled texts with what could be restored, and which encodings were confused."""
     return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text", "repo").withColumnRenamed("id", "doc_id")

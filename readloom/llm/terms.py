@@ -10,33 +10,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.skew import heavy_keys
+from readloom.operators.skew import heavy_keys, heavy_share
 
 UNSEEN = np.iinfo(np.int64).min
 #: Cells of the local arrays of a task; when they are full, it sends them and begins anew.
 CELLS = 8_000_000
 
 
-def term_table(df: DataFrame, term: str, record: str, amount: str, heavy_share: float = 0.0005, common_above: float = 0.5, rare_records: int = 1, rare_total: int = 2) -> DataFrame:
+def term_table(df: DataFrame, term: str, record: str, amount: str, heavy_least: float = 0.0005, common_above: float = 0.5, rare_records: int = 1, rare_total: int = 2) -> DataFrame:
     """(term, total, n_records, mark) for every distinct term.
 
     A (term, record) pair counts once; of its rows the largest amount holds, and one with no known amount adds 0.
     ``mark`` is 'common' for a term in more than ``common_above`` of all records that occur in df, 'rare' for one in at
     most ``rare_records`` with a total of at most ``rare_total``, else null.
 
-    Heavy terms (at least ``heavy_share`` of all rows: at most 8/(7 * share) of them) are broadcast; each task adds them
-    up in exact local arrays indexed by term and record, and sends (term number, record, amount) once for each pair it
-    saw. Only the other terms are shuffled as text, in one shuffle by term; none of them is held by many rows. The
-    union of both tables is the result.
+    Heavy terms (at least ``heavy_least`` of all rows, or half of what a shuffle partition holds on average if that is
+    less: a bounded number, see ``skew.heavy_share``) are broadcast; each task adds them up in exact local arrays indexed by
+    term and record, and sends (term number, record, amount) once for each pair it saw. Only the other terms are shuffled as
+    text. Both go through one shuffle by term and record, combined on the map side, and a second one by term, so that no
+    term below the share makes a long task either; the union of both tables is the result.
 
     Null terms and null records are left out, but records with null terms only count among all records; the empty string is a term. An empty table gives no rows.
     """
     src = df.select(F.col(term).cast("string").alias("term"), F.col(record).cast("string").alias("record"), F.col(amount).cast("long").alias("amount")).where("record is not null")
     n_all = src.agg(F.countDistinct("record")).first()[0]
     src = src.where("term is not null")
-    heavy, _ = heavy_keys(src, "term", heavy_share)
-    names = sorted(r[0] for r in heavy.collect())
     spark = df.sparkSession
+    heavy, _ = heavy_keys(src, "term", heavy_share(spark, heavy_least))
+    names = sorted(r[0] for r in heavy.collect())
     words = spark.sparkContext.broadcast(pa.array(names, pa.string()))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,11 +45,13 @@ def term_table(df: DataFrame, term: str, record: str, amount: str, heavy_share:
 
         def seen() -> pa.RecordBatch:
             t, r = np.nonzero(best != UNSEEN)
-            return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(list(records), pa.string()).take(pa.array(r)), pa.array(best[t, r])], ["t", "record", "amount"])
+            return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.nulls(len(t), pa.string()), pa.array(list(records), pa.string()).take(pa.array(r)), pa.array(best[t, r])], ["t", "term", "record", "amount"])
 
         for b in batches:
             at = pc.index_in(b.column(0), value_set=dictionary)
             known = pc.is_valid(at)
+            light = b.filter(pc.invert(known))
+            yield pa.RecordBatch.from_arrays([pa.nulls(light.num_rows, pa.int32()), light.column(0), light.column(1), pc.fill_null(light.column(2), 0)], ["t", "term", "record", "amount"])
             rec = b.column(1).filter(known).dictionary_encode()
             if not len(rec):
                 continue
@@ -61,22 +64,10 @@ def term_table(df: DataFrame, term: str, record: str, amount: str, heavy_share:
             np.maximum.at(best, (at.filter(known).to_numpy(), here[rec.indices.to_numpy()]), pc.fill_null(b.column(2).filter(known), 0).to_numpy())
         yield seen()
 
-    if names:
-        numbered = F.broadcast(spark.createDataFrame(list(enumerate(names)), "t int, term string"))
-        hot = (
-            src.mapInArrow(local, "t int, record string, amount long")
-            .groupBy("t", "record").agg(F.max("amount").alias("amount"))
-            .groupBy("t").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n_records"))
-            .join(numbered, "t").select("term", "total", "n_records")
-        )
-        rest = src.join(F.broadcast(heavy.withColumnRenamed("key", "term")), "term", "left_anti")
-    else:
-        hot, rest = None, src
-    cold = (
-        rest.repartition("term")
-        .groupBy("term", "record").agg(F.max(F.coalesce("amount", F.lit(0))).alias("amount"))
-        .groupBy("term").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n_records"))
-    )
-    both = cold if hot is None else hot.unionByName(cold)
+    rows = src.mapInArrow(local, "t int, term string, record string, amount long") if names else src.select(F.lit(None).cast("int").alias("t"), "term", "record", F.coalesce("amount", F.lit(0)).alias("amount"))
+    pairs = rows.groupBy("t", "term", "record").agg(F.max("amount").alias("amount"))
+    both = pairs.groupBy("t", "term").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n_records"))
+    numbered = F.broadcast(spark.createDataFrame(list(enumerate(names)), "t int, name string"))
+    both = both.join(numbered, "t", "left").select(F.coalesce("name", "term").alias("term"), "total", "n_records")
     mark = F.when(F.col("n_records") > F.lit(common_above * n_all), "common").when((F.col("n_records") <= rare_records) & (F.col("total") <= rare_total), "rare")
     return both.withColumn("mark", mark)
