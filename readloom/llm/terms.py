@@ -10,21 +10,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.skew import heavy_keys, heavy_share
+from readloom.operators import skew
 
 UNSEEN = np.iinfo(np.int64).min
 #: Cells of the local arrays of a task; when they are full, it sends them and begins anew.
 CELLS = 8_000_000
 
 
-def term_table(df: DataFrame, term: str, record: str, amount: str, heavy_least: float = 0.0005, common_above: float = 0.5, rare_records: int = 1, rare_total: int = 2) -> DataFrame:
+def term_table(df: DataFrame, term: str, record: str, amount: str, heavy_share: float = 0.0005, common_above: float = 0.5, rare_records: int = 1, rare_total: int = 2) -> DataFrame:
     """(term, total, n_records, mark) for every distinct term.
 
     A (term, record) pair counts once; of its rows the largest amount holds, and one with no known amount adds 0.
     ``mark`` is 'common' for a term in more than ``common_above`` of all records that occur in df, 'rare' for one in at
     most ``rare_records`` with a total of at most ``rare_total``, else null.
 
-    Heavy terms (at least ``heavy_least`` of all rows, or half of what a shuffle partition holds on average if that is
+    Heavy terms (at least ``heavy_share`` of all rows, or half of what a shuffle partition holds on average if that is
     less: a bounded number, see ``skew.heavy_share``) are broadcast; each task adds them up in exact local arrays indexed by
     term and record, and sends (term number, record, amount) once for each pair it saw. Only the other terms are shuffled as
     text. Both go through one shuffle by term and record, combined on the map side, and a second one by term, so that no
@@ -36,7 +36,7 @@ def term_table(df: DataFrame, term: str, record: str, amount: str, heavy_least:
     n_all = src.agg(F.countDistinct("record")).first()[0]
     src = src.where("term is not null")
     spark = df.sparkSession
-    heavy, _ = heavy_keys(src, "term", heavy_share(spark, heavy_least))
+    heavy, _ = skew.heavy_keys(src, "term", skew.heavy_share(spark, heavy_share))
     names = sorted(r[0] for r in heavy.collect())
     words = spark.sparkContext.broadcast(pa.array(names, pa.string()))
 

@@ -3,11 +3,14 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions.text import bases, header_field
 from readloom.operators.components import connected_components
+from readloom.llm import similar
 from readloom.llm.duplicates import fold_copies, records
 from readloom.llm.frequent import frequent_values
 from readloom.llm.similar import similar_groups
@@ -205,3 +208,32 @@ def test_levels(seqs):
         t = letters(data[i])
         n = next((n for n in (25, 50, 100, 200) if not any(t[p : p + n] in u for u in texts - {t} for p in range(len(t) - n + 1))), None) if len(t) < 1000 else 25
         assert r.longest_level == (n // 2 if n > 25 else 0)
+
+
+def test_levels_rule_out_nothing_alike():
+    """Whatever two levels of a tree rule out holds no alike pair, by brute force over the leaves."""
+    r = random.Random(3)
+    base = ["".join(r.choices("ACGT", k=r.randint(30, 90))) for _ in range(30)]
+    texts = [s[r.randint(0, 9) :] + "".join(r.choices("ACGT", k=r.randint(0, 9))) for s in base for _ in range(4)]
+    texts = sorted(texts[::2]) + texts[1::2]  # alike texts on both sides, and next to one another on the second
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    (b,) = similar._sketch(8, 192)(iter([batch]))
+    bits = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(len(texts), -1)
+    size = b.column(2).to_numpy()
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    assert size.tolist() == [len(s) for s in sets]
+    half = len(texts) // 2
+    x, y = (similar.Tree(np.arange(len(texts))[a:z], size[a:z], bits[a:z], texts[a:z], 8) for a, z in ((0, half), (half, len(texts))))
+    for p, q, same in ((x, y, False), (x, x, True), (y, y, True)):
+        got = {(int(p.ids[i]), int(q.ids[j])) for a, b in similar.candidates(p, q, 0.6, same) for i, j in zip(a, b)}
+        want = {(int(i), int(j)) for i in p.ids for j in q.ids if (i < j or not same) and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+        assert want and want <= got and len(got) < len(p.ids) * len(q.ids) / 4
+
+
+def test_tiles_far_apart_in_size_do_not_meet(spark):
+    """Sets whose sizes differ by more than the similarity allows are never sent to one another."""
+    level = lambda low, high: (low, high, 0, b"\xff" * 16)
+    rows_ = [(0, *level(100, 120)), (0, *level(110, 130)), (1, *level(210, 240)), (2, *level(230, 300))]
+    table = spark.createDataFrame(rows_, "tile long, low long, high long, surplus long, bits binary")
+    big = spark.createDataFrame([(t, low, high, 300, b) for t, low, high, _, b in rows_], table.schema)
+    assert rows(similar.tile_pairs(big, 0.6, 4)) == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2)]
