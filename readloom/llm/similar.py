@@ -50,10 +50,10 @@ class Level:
         return Level(np.bitwise_or.reduceat(self.bits, first, axis=1), np.minimum.reduceat(self.low, first), np.maximum.reduceat(self.high, first), np.maximum.reduceat(self.surplus, first))
 
 
-def _overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _overlaps(x: np.ndarray, y: np.ndarray, kind: type) -> np.ndarray:
     """popcount(X & Y) of every column of x with every column of y."""
     shape = x.shape[1], y.shape[1]
-    both, count, part, total = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.zeros(shape, np.uint8), np.zeros(shape, np.uint16)
+    both, count, part, total = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.zeros(shape, np.uint8), np.zeros(shape, kind)
     for w in range(len(x)):
         np.bitwise_and(x[w][:, None], y[w][None, :], out=both)
         np.bitwise_count(both, out=count)
@@ -73,10 +73,12 @@ def meeting(x: Level, y: Level, least: float, i: np.ndarray, j: np.ndarray | Non
     c = least / (1 + least)
     yb = y.bits if j is None else y.bits[:, j]
     low, high, surplus = (v if j is None else v[j] for v in (y.low, y.high, y.surplus))
-    overlap = _overlaps(x.bits[:, i], yb)
-    # a cheap bound first; the exact one for the few that pass it
-    floor = c * (x.low[i].min() + low) - np.minimum(x.surplus[i].max(), surplus) - 0.01
-    a, b = np.divmod(np.flatnonzero(overlap >= np.maximum(np.ceil(floor), 0).astype(np.uint16)[None, :]), len(low))
+    big = max(64 * len(x.bits), c * x.low.max(initial=0), c * low.max(initial=0), x.surplus.max(initial=0))
+    kind = np.int16 if big < 16_000 else np.int64
+    overlap = _overlaps(x.bits[:, i], yb, kind)
+    # a bound that is a sum of two numbers first; the exact one for the few that pass it
+    floor = (np.floor(c * x.low[i]) - x.surplus[i] - 1).astype(kind)[:, None] + np.floor(c * low).astype(kind)[None, :]
+    a, b = np.divmod(np.flatnonzero(overlap >= floor), max(len(low), 1))
     k = i[a]
     keep = overlap[a, b] + np.minimum(x.surplus[k], surplus[b]) >= c * (x.low[k] + low[b]) - 0.01
     keep &= (x.high[k] >= least * low[b] - 1e-9) & (high[b] >= least * x.low[k] - 1e-9)
@@ -344,14 +346,14 @@ def similar_groups(df: DataFrame, id_col: str, text: Column, least: float, width
     n, mean = texts.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.length("text")), F.lit(width))).first()
     n_bits = 64 * int(max(2, -(-BITS_PER_WORD * (mean - width + 1) // 64)))
     cores = spark.sparkContext.defaultParallelism
-    # tiles by which there are a few pairs for each core, and of at most most_blocks blocks
+    # tiles by which there are a few pairs for each core, and of about most_blocks blocks at most
     rows = int(min(block * most_blocks, max(1024, -(-n // max(1, round((6 * cores) ** 0.5))))))
-    block = min(block, rows)
+    block = -(-rows // -(-rows // block))
     sketched = write_table(texts.mapInArrow(_sketch(width, n_bits), "id long, text string, size long, m1 long, m2 long, bits binary"), "sketched")
     band = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(least)))
     order = [band.alias("band"), "m1", "m2", "id"]
     ranged = sketched.repartitionByRange(max(1, -(-n // rows)), *order).sortWithinPartitions(*order).select("id", "text", "size", "bits")
-    blocks = write_table(ranged.mapInArrow(_pack(block, max(1, rows // block)), "tile long, low long, high long, surplus long, bits binary, ids binary, sizes binary, leaves binary, texts binary"), "blocks")
+    blocks = write_table(ranged.mapInArrow(_pack(block, 2 * -(-rows // block)), "tile long, low long, high long, surplus long, bits binary, ids binary, sizes binary, leaves binary, texts binary"), "blocks")
     summaries = blocks.select("tile", "low", "high", "surplus", "bits")
     pairs = write_table(tile_pairs(summaries, least, blocks.count()), "tile-pairs")
     n_pairs = pairs.count()
