@@ -31,6 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to all executors, for a cluster on which it isn't installed."""
+    import os
+    import zipfile
+
+    import readloom
+
+    root = os.path.dirname(os.path.abspath(readloom.__file__))
+    with tempfile.TemporaryDirectory() as folder:  # only until the driver has taken the file
+        path = os.path.join(folder, "readloom.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(root):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(at, n), os.path.join("readloom", os.path.relpath(os.path.join(at, n), root)))
+        spark.sparkContext.addPyFile(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

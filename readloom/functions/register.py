@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -9,27 +10,45 @@ from pyspark.sql import functions as F
 from readloom.kernels import align as A
 from readloom.kernels import words
 from readloom.kernels.poisson import tail
+from readloom.operators.qc import ring
 from readloom.sources.fasta import register as register_sources
 
 
-def register(spark: SparkSession) -> None:
-    """nw_align, nw_hamming, rc, kmer_dist, seq_complexity, pois_sf as SQL functions, kmers as a table function, and the sources fasta and fastq."""
+def register(spark: SparkSession, genome: str | None = None) -> None:
+    """nw_align, nw_hamming, rc, kmer_dist, seq_complexity, pois_sf as SQL functions, is_phix where the contaminant's genome is given (its letters, see ``qc.read_genome``), kmers as a table function, and the sources fasta and fastq. Null arguments give null."""
+
+    def over(a: pd.Series, b: pd.Series):
+        known = (a.notna() & b.notna()).to_numpy()
+        return known, A.align(a[known].tolist(), b[known].tolist())
 
     @F.pandas_udf("struct<al0:string,al1:string>")
     def nw_align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(A.align(a.fillna("").tolist(), b.fillna("").tolist()), columns=["al0", "al1"])
+        known, als = over(a, b)
+        out = np.full((len(a), 2), None, object)
+        out[known] = np.array(als, object).reshape(-1, 2)
+        return pd.DataFrame(out, columns=["al0", "al1"])
 
     @F.pandas_udf("int")
     def nw_hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sum(A.evaluate(x)[1:]) for x in A.align(a.fillna("").tolist(), b.fillna("").tolist())])
+        known, als = over(a, b)
+        out = pd.Series([None] * len(a), dtype="Int32")
+        out[known] = [sum(A.evaluate(x)[1:]) for x in als]
+        return out
 
     @F.pandas_udf("double")
     def seq_complexity(a: pd.Series) -> pd.Series:
-        return a.map(lambda s: None if s is None else words.complexity(s, 2, None, 5)).astype("float64")
+        known = a.notna().to_numpy()
+        out = pd.Series([None] * len(a), dtype="float64")
+        out[known] = words.complexities(a[known].tolist(), 2, None, 5)
+        return out
 
     @F.pandas_udf("double")
     def kmer_dist(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if not x or not y or min(len(x), len(y)) < 5 else 1 - words.shared(x, y, 5) / (min(len(x), len(y)) - 4) for x, y in zip(a, b, strict=True)], dtype="float64")
+        n = np.minimum(a.str.len(), b.str.len()) - 4
+        known = (n > 0).to_numpy()
+        out = pd.Series([None] * len(a), dtype="float64")
+        out[known] = 1 - words.shared_counts(a[known].tolist(), b[known].tolist(), 5) / n[known].to_numpy()
+        return out
 
     @F.pandas_udf("double")
     def pois_sf(k: pd.Series, mean: pd.Series) -> pd.Series:
@@ -39,11 +58,17 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(f.__name__, f)
     spark.sql("create or replace temporary function rc(s string) returns string return reverse(translate(s, 'ACGTRYKMBVDHSWN', 'TGCAYRMKVBHDSWN'))")
 
-    @F.udtf(returnType="pos int, kmer string")
-    class Kmers:
-        def eval(self, seq: str, k: int):
-            for i in range(len(seq or "") - k + 1):
-                yield i + 1, seq[i : i + k]
+    spark.sql("create or replace temporary function kmers(s string, k int) returns table (pos int, kmer string) return select p + 1, w from (select posexplode(case when length(s) >= k then transform(sequence(1, length(s) - k + 1), i -> substring(s, i, k)) else array() end) as (p, w))")
+    if genome is not None:
+        forward, back = (words.Known(ring(g, 16), 16) for g in (genome, genome[::-1].translate(str.maketrans("ACGT", "TGCA"))))
+
+        @F.pandas_udf("boolean")
+        def is_phix(a: pd.Series) -> pd.Series:
+            known = a.notna().to_numpy()
+            out = pd.Series([None] * len(a), dtype="boolean")
+            seqs = a[known].tolist()
+            out[known] = (forward.hits(seqs, True) >= 2) | (back.hits(seqs, True) >= 2)
+            return out
 
-    spark.udtf.register("kmers", Kmers)
+        spark.udf.register("is_phix", is_phix)
     register_sources(spark)

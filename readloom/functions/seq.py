@@ -57,7 +57,10 @@ def complexity(seq: Column, k: int = 2, window: int | None = None, by: int = 5)
 
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: None if s is None else words.complexity(s, k, window, by)).astype("float64")
+        known = x.notna().to_numpy()
+        out = pd.Series([None] * len(x), dtype="float64")
+        out[known] = words.complexities(x[known].tolist(), k, window, by)
+        return out
 
     return run(seq)
 
@@ -67,7 +70,11 @@ def shared_kmers(a: Column, b: Column, k: int) -> Column:
 
     @F.pandas_udf("int")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else words.shared(p, q, k) for p, q in zip(x, y, strict=True)], dtype="Int32")
+        known = (x.notna() & y.notna()).to_numpy()
+        p, q = x[known].tolist(), y[known].tolist()
+        out = pd.Series([None] * len(x), dtype="Int32")
+        out[known] = words.shared_counts(p, q, k) if k <= 7 else [words.shared(s, t, k) for s, t in zip(p, q, strict=True)]
+        return out
 
     return run(a, b)
 
@@ -105,23 +112,15 @@ def genus_matches(tax: Column, binomial: Column, glyph: str = "/") -> Column:
 
 
 def word_hits(seq: Column, known: frozenset[str], word: int, non_overlapping: bool) -> Column:
-    """How many of a sequence's words are among ``known``; without overlaps a hit is followed by the word that begins ``word`` + 1 later. Arrow batches: a lookup in a set for each word, however many are known."""
-
-    def count(s: str | None) -> int | None:
-        if s is None:
-            return None
-        if not non_overlapping:
-            return sum(s[i : i + word] in known for i in range(len(s) - word + 1))
-        n, i = 0, 0
-        while i <= len(s) - word:
-            if s[i : i + word] in known:
-                n += 1
-                i += word
-            i += 1
-        return n
+    """How many of a sequence's words are among ``known``; without overlaps a hit is followed by the word that begins ``word`` + 1 later. Words with other letters than A, C, G, T are never known. Arrow batches: all words of a batch are looked up at once."""
+
+    look_up = words.Known(known, word)
 
     @F.pandas_udf("int")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series([count(s) for s in x], dtype="Int32")
+        valid = x.notna().to_numpy()
+        out = pd.Series([None] * len(x), dtype="Int32")
+        out[valid] = look_up.hits(x[valid].tolist(), non_overlapping)
+        return out
 
     return run(seq)

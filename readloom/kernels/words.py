@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 _CODE = np.full(256, 4, np.int64)
@@ -66,31 +68,114 @@ def effective_number(counts: np.ndarray) -> np.ndarray:
     return np.exp(-np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0).sum(-1))
 
 
-def complexity(seq: str, k: int, window: int | None, by: int) -> float:
-    w = word_numbers(seq, k)
+def _letters(seqs: list[str], code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All letters in one array, as bytes or by ``code``, and where each sequence begins (one more entry at the end)."""
+    raw = np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8)
+    return (raw if code is None else code[raw]), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]).astype(np.int64)
+
+
+def _starts(ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of k letters begin in the one array, and the sequence each belongs to."""
+    counts = np.maximum(np.diff(ends) - k + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return ends[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts), owner
+
+
+def _numbers(letters: np.ndarray, at: np.ndarray, k: int, base: int) -> np.ndarray:
+    out = np.zeros(len(at), np.int64)
+    for i in range(k):
+        out = out * base + letters[at + i]
+    return out
+
+
+def complexities(seqs: list[str], k: int, window: int | None, by: int) -> np.ndarray:
+    """For each sequence the effective number of its words; with a window the least of those that begin at every ``by`` letters and fit, 4^k where none does. For k up to 3."""
+    letters, ends = _letters(seqs, _CODE)
+    at, owner = _starts(ends, k)
+    bad = (letters == 4).astype(np.int64)
+    bad = np.concatenate([[0], np.cumsum(bad)])
+    good = bad[at + k] == bad[at]
+    word = _numbers(np.minimum(letters, 3), at, k, 4)
+    n, m = len(seqs), 4**k
     if window is None:
-        return float(effective_number(np.bincount(w[w >= 0], minlength=1)))
-    starts = np.arange(0, len(seq) - window + 1, by)
-    if not len(starts):
-        return float(4**k)
-    _, w = np.unique(w, return_inverse=True) if (w >= 0).all() else np.unique(np.append(-1, w), return_inverse=True)
-    skip = len(w) != len(seq) - k + 1
-    each = np.zeros((len(seq) - k + 2, w.max() + 1), np.int32)
-    w = w[1:] if skip else w
-    each[np.arange(1, len(w) + 1), w] = 1
-    if skip:
-        each[:, 0] = 0
-    cum = each.cumsum(0)
-    return float(effective_number(cum[starts + window - k + 1] - cum[starts]).min())
+        return effective_number(np.bincount(owner[good] * m + word[good], minlength=n * m).reshape(n, m))
+    # running counts at every word; a window's counts are a difference of two of them
+    out = np.full(n, float(m))
+    first = np.searchsorted(owner, np.arange(n + 1))
+    fits = np.maximum((np.diff(ends) - window) // by + 1, 0)
+    fits[np.diff(ends) < window] = 0
+    for lo in range(0, n, 512):
+        hi = min(lo + 512, n)
+        a, z = first[lo], first[hi]
+        each = np.zeros((z - a + 1, m), np.int32)
+        rows = np.flatnonzero(good[a:z])
+        each[rows + 1, word[a:z][rows]] = 1
+        total = each.cumsum(0)
+        which = np.repeat(np.arange(lo, hi), fits[lo:hi])
+        if len(which):
+            start = first[which] - a + (np.arange(len(which)) - np.repeat(np.cumsum(fits[lo:hi]) - fits[lo:hi], fits[lo:hi])) * by
+            value = effective_number(total[start + window - k + 1] - total[start])
+            np.minimum.at(out, which, value)
+    return out
+
+
+def complexity(seq: str, k: int, window: int | None, by: int) -> float:
+    """``complexities`` of one sequence."""
+    return float(complexities([seq], k, window, by)[0])
+
+
+def shared_counts(a: list[str], b: list[str], k: int) -> np.ndarray:
+    """For each pair the sum over the words of the smaller of both counts. Words with other letters than A, C, G, T are words like any other. For k up to 7."""
+    keys = []
+    for seqs in (a, b):
+        letters, ends = _letters(seqs)
+        at, owner = _starts(ends, k)
+        keys.append((owner, _numbers(letters.astype(np.int64), at, k, 256)))
+    ids = np.unique(np.concatenate([w for _, w in keys]), return_inverse=True)[1]
+    cut = len(keys[0][1])
+    size = int(ids.max(initial=0)) + 1
+    ua, na = np.unique(keys[0][0] * size + ids[:cut], return_counts=True)
+    ub, nb = np.unique(keys[1][0] * size + ids[cut:], return_counts=True)
+    both, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    return np.bincount(both // size, weights=np.minimum(na[ia], nb[ib]), minlength=len(a)).astype(np.int64)
 
 
 def shared(a: str, b: str, k: int) -> int:
-    """Sum over the words of the smaller of both counts. Words with other letters than A, C, G, T are words like any other."""
-    wa = np.array([a[i : i + k] for i in range(len(a) - k + 1)])
-    wb = np.array([b[i : i + k] for i in range(len(b) - k + 1)])
-    if not len(wa) or not len(wb):
-        return 0
-    ua, na = np.unique(wa, return_counts=True)
-    ub, nb = np.unique(wb, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    return int(np.minimum(na[ia], nb[ib]).sum())
+    """``shared_counts`` of one pair, for any k."""
+    if k <= 7:
+        return int(shared_counts([a], [b], k)[0])
+    count = lambda s: Counter(s[i : i + k] for i in range(len(s) - k + 1))
+    return (count(a) & count(b)).total()
+
+
+class Known:
+    """A set of words of A, C, G and T, all of k letters (at most 31), to look up in many sequences at once."""
+
+    def __init__(self, words: frozenset[str], k: int):
+        self.k = k
+        plain = [w for w in words if len(w) == k and not set(w) - set("ACGT")]
+        letters, ends = _letters(plain, _CODE)
+        self.numbers = np.sort(_numbers(letters, ends[:-1], k, 4)) if plain else np.zeros(0, np.int64)
+
+    def hits(self, seqs: list[str], non_overlapping: bool) -> np.ndarray:
+        """How many words of each sequence are known; without overlaps a hit is followed by the word that begins k + 1 later."""
+        letters, ends = _letters(seqs, _CODE)
+        at, owner = _starts(ends, self.k)
+        if not len(at) or not len(self.numbers):
+            return np.zeros(len(seqs), np.int64)
+        bad = np.concatenate([[0], np.cumsum(letters == 4)])
+        number = _numbers(np.minimum(letters, 3), at, self.k, 4)
+        place = np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)
+        found = (self.numbers[place] == number) & (bad[at + self.k] == bad[at])
+        at, owner = at[found], owner[found]
+        if not non_overlapping:
+            return np.bincount(owner, minlength=len(seqs))
+        # in turns: the first hit of each sequence that is far enough from the last one taken
+        out, last = np.zeros(len(seqs), np.int64), np.full(len(seqs), -(10**9))
+        while len(at):
+            lead = np.concatenate([[True], owner[1:] != owner[:-1]])
+            out[owner[lead]] += 1
+            last[owner[lead]] = at[lead]
+            rest = at > last[owner] + self.k
+            at, owner = at[rest], owner[rest]
+        return out

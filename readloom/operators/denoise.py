@@ -175,7 +175,7 @@ def _unpool(uniques: DataFrame, done: DataFrame) -> DataFrame:
     return full.join(mapped, "sample").withColumns({"trans": F.array().cast(f"array<struct<{_TRANS}>>"), "births": F.array().cast(f"array<struct<{_BIRTH}>>"), "quals": F.array().cast("array<array<double>>")})
 
 
-def learn_errors(reads: DataFrame, uniques: DataFrame, n_bases: int = 100_000_000, error_function: Callable[[np.ndarray], np.ndarray] = E.loess_errors, opt: Options = Options()) -> Denoised:
-    """Rates learned from the first samples (in order) that together have more than n_bases bases. Nothing is left uncorrected while learning."""
-    first = samples_up_to(reads, n_bases).select("sample")
+def learn_errors(reads: DataFrame, uniques: DataFrame, n_bases: int = 100_000_000, error_function: Callable[[np.ndarray], np.ndarray] = E.loess_errors, opt: Options = Options(), randomize: int | None = None) -> Denoised:
+    """Rates learned from the first samples (in order, or with ``randomize`` in one drawn with that seed) that together have more than n_bases bases. Nothing is left uncorrected while learning."""
+    first = samples_up_to(reads, n_bases, seed=randomize).select("sample")
     return denoise(uniques.join(first, "sample", "left_semi"), None, error_function, self_consist=True, opt=opt.with_(OMEGA_C=0.0))

@@ -11,7 +11,7 @@ from readloom.functions.seq import reverse_complement
 def dereplicate(reads: DataFrame, by: str = "sample", seq: str = "seq") -> DataFrame:
     """(by, seq, abundance, uidx): unique sequences, numbered by falling abundance, then by sequence. Null and empty sequences are left out."""
     counted = reads.where(F.length(seq) > 0).groupBy(by, F.col(seq).alias("seq")).agg(F.count(F.lit(1)).alias("abundance"))
-    return counted.withColumn("uidx", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("abundance"), "seq")))
+    return rank_within(counted, by, "uidx", F.desc("abundance"), F.col("seq"))
 
 
 def mean_quality(reads: DataFrame, by: str = "sample", seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -20,14 +20,15 @@ def mean_quality(reads: DataFrame, by: str = "sample", seq: str = "seq", qual: s
     return places.groupBy(by, "seq", (F.col("p") + 1).alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("q").cast("double")).alias("mean_q"))
 
 
-def quality_arrays(reads: DataFrame, by: str = "sample", seq: str = "seq", qual: str = "qual") -> DataFrame:
-    """(by, seq, abundance, qual): as dereplicate, with the mean qualities as one array for each unique sequence.
+def quality_arrays(reads: DataFrame, by: str = "sample", seq: str = "seq", qual: str = "qual", in_errors: bool = False) -> DataFrame:
+    """(by, seq, abundance, qual): as dereplicate, with the mean qualities as one array for each unique sequence. in_errors: the mean is taken of the error probabilities 10^(-Q/10), and is given as such.
 
     Sums by place are kept in the aggregation buffer of Spark's built-in sum over exploded places only where the places are
     needed apart; here each distinct (sequence, quality array) is counted first, which a few thousand reads of a template often share.
     """
     distinct = reads.where(F.length(seq) > 0).groupBy(by, F.col(seq).alias("seq"), F.col(qual).alias("q")).agg(F.count(F.lit(1)).alias("n"))
-    sums = distinct.where("q is not null").select(by, "seq", "n", F.posexplode("q").alias("p", "v")).groupBy(by, "seq", "p").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"))
+    value = F.pow(F.lit(10.0), -F.col("v").cast("double") / 10) if in_errors else F.col("v")
+    sums = distinct.where("q is not null").select(by, "seq", "n", F.posexplode("q").alias("p", "v")).groupBy(by, "seq", "p").agg((F.sum(value * F.col("n")) / F.sum("n")).alias("m"))
     arrays = sums.groupBy(by, "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("qual"))
     return distinct.groupBy(by, "seq").agg(F.sum("n").alias("abundance")).join(arrays, [by, "seq"], "left")
 
@@ -56,6 +57,21 @@ def with_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("long")).drop("_part", "_at", "_before")
 
 
+def rank_within(df: DataFrame, by: str, name: str, *order: Column) -> DataFrame:
+    """Number rows from 1 in a total order within each value of ``by``, of which one may hold most rows: ranges of all rows are sorted apart, so the rows of one value may lie in several; each range numbers its own, after those of the ranges before it."""
+    from readloom.cluster import write_table
+
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, F.col(by), *order).sortWithinPartitions(F.col(by), *order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
+    ranged = write_table(ranged, "ranked")
+    runs = ranged.groupBy("_part", by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # a row for each value in a range
+    w = Window.partitionBy(by).orderBy("_part")
+    runs = runs.select("_part", F.col(by).alias("_by"), (F.sum("_n").over(w) - F.col("_n") - F.col("_first")).alias("_shift"))
+    out = ranged.join(runs, (ranged["_part"] == runs["_part"]) & ranged[by].eqNullSafe(runs["_by"]))
+    return out.withColumn(name, (F.col("_at") + F.col("_shift") + 1).cast("int")).select(*df.columns, name)
+
+
 def sequence_table(uniques: DataFrame) -> DataFrame:
     """(sample, seq, abundance), the long form of a table of samples by sequences."""
     return uniques.where("seq is not null and abundance > 0").groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance"))
@@ -110,10 +126,10 @@ def priors(table: DataFrame, prevalence: int = 2, abundance: float = float("inf"
     return table.groupBy("seq").agg(F.countDistinct("sample").alias("n_samples"), F.sum("abundance").alias("total")).where(cond)
 
 
-def samples_up_to(reads: DataFrame, n_bases: int, order: str = "sample") -> DataFrame:
-    """(sample, bases, running): the samples in order, up to the one with which the bases exceed n_bases. There is one row for each sample here."""
+def samples_up_to(reads: DataFrame, n_bases: int, order: str = "sample", seed: int | None = None) -> DataFrame:
+    """(sample, bases, running): the samples in order (with a seed in one drawn at random), up to the one with which the bases exceed n_bases. There is one row for each sample here."""
     per = reads.groupBy("sample").agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"))
-    running = per.withColumn("running", F.sum("bases").over(Window.orderBy(order)))
+    running = per.withColumn("running", F.sum("bases").over(Window.orderBy(order) if seed is None else Window.orderBy(F.xxhash64(F.lit(seed), order), order)))
     return running.where(F.col("running") - F.col("bases") <= n_bases)
 
 

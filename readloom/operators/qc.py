@@ -39,13 +39,25 @@ def _stage(df: DataFrame, keep: Column, seq: str, qual: str, start: Column | Non
     return df
 
 
+def ring(genome: str, word: int) -> frozenset[str]:
+    """The words of a circular genome."""
+    closed = genome + genome[: word - 1]
+    return frozenset(closed[i : i + word] for i in range(len(genome)))
+
+
+def read_genome(path: str) -> str:
+    """The letters of the first record of a FASTA file, such as that of a contaminant."""
+    from readloom.sources.fasta import _open, fasta_records
+
+    with _open(path) as f:
+        return next(fasta_records(f))[1]
+
+
 def contaminated(seq: Column, genome: str, word: int = 16, min_matches: int = 2, non_overlapping: bool = True) -> Column:
     """At least min_matches words of the read stand in the circular genome, or in its reverse complement."""
     flags = []
     for strand in (genome, genome[::-1].translate(str.maketrans("ACGT", "TGCA"))):
-        ring = strand + strand[: word - 1]
-        words = frozenset(ring[i : i + word] for i in range(len(strand)))
-        flags.append(S.word_hits(seq, words, word, non_overlapping) >= min_matches)
+        flags.append(S.word_hits(seq, ring(strand, word), word, non_overlapping) >= min_matches)
     return flags[0] | flags[1]
 
 

@@ -87,14 +87,45 @@ def _paired(spark, d):
     return qc.filter_pairs(pairs(spark, d), qc.Filter(trunc_q=2, trunc_len=50), qc.Filter(trunc_q=2, trunc_len=40)).select("sample", "read_idx", "f", "r")
 
 
-@query("qc_match_ids", f"with {PAIRS} select a.sample, a.read_idx, b.read_idx mate_idx from p a join p b on a.sample = b.sample and a.id = b.id and length(a.id) - length(replace(a.id, ':', '')) = 6")
+TABLE = f"{R}, t as (select sample, seq, count(*) abundance from r where length(seq) > 0 and list_sum(list_transform(qual, lambda x: pow(10.0, -x / 10.0))) <= 4.0 and not regexp_matches(seq, '[^ACGT]') group by 1, 2)"
+
+
+@query("qc_match_ids", f"with {PAIRS}, a as (select * from p where not regexp_matches(f, 'N')), b as (select * from p where list_sum(list_transform(rq, lambda x: pow(10.0, -x / 10.0))) <= 2.0) select a.sample, a.read_idx, b.read_idx mate_idx from a join b on a.sample = b.sample and a.id = b.id and length(a.id) - length(replace(a.id, ':', '')) = 6")
 def _match(spark, d):
+    """Mates that were filtered each by itself, so many have lost theirs; a number of the file instead of a place, so they aren't in order."""
     p = pairs(spark, d)
-    fwd = p.select("sample", F.concat("id", F.lit(" 1:N:0")).alias("id"), "read_idx")
-    rev = p.select("sample", F.concat("id", F.lit(" 2:N:0")).alias("id"), F.col("read_idx").alias("mate_idx"))
+    fwd = p.where(~F.col("f").contains("N")).select("sample", F.concat("id", F.lit(" 1:N:0")).alias("id"), "read_idx")
+    rev = p.where(S.expected_errors(F.col("rq")) <= 2.0).select("sample", F.concat("id", F.lit(" 2:N:0")).alias("id"), F.col("read_idx").alias("mate_idx"))
     return qc.match_ids(fwd, rev).select("sample", "read_idx", "mate_idx")
 
 
+@query("qc_low_complexity", f"with {R}, k as (select seq, substr(seq, i, 2) w, count(*) n from (select distinct seq from r where seq is not null), unnest(range(1, 96)) t(i) where regexp_matches(substr(seq, i, 2), '^[ACGT]*$') group by 1, 2), c as (select seq, exp(-sum(n / t * ln(n / t))) v from (select *, cast(sum(n) over (partition by seq) as double) t from k) group by seq) select read_idx, sample from r join c using (seq) where v >= 14.5")
+def _low_complexity(spark, d):
+    return qc.filter_reads(reads(spark, d), qc.Filter(trunc_q=None, min_len=0, max_n=None, low_complexity=14.5)).select("read_idx", "sample")
+
+
+@query("seq_table_prevalence", f"with {TABLE}, o as (select seq, cast(sum(abundance) as bigint) total, count(*) n_samples from t group by 1) select *, row_number() over (order by n_samples desc, seq) col from o")
+def _prevalence(spark, d):
+    return D.column_order(seq_table(spark, d), "nsamples")
+
+
+@query("stream_uniques", "select sample, seq, count(*) abundance from reads where length(seq) > 0 group by 1, 2")
+def _stream(spark, d):
+    """Unique sequences counted over a stream of the deliveries, until all that is there has been read."""
+    import uuid
+
+    from readloom.cluster import shared_dir
+    from readloom.streaming.reads import dereplicate_stream
+
+    folder = f"{shared_dir(spark)}/readloom/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/reads.parquet").schema
+    counted = dereplicate_stream(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/reads.parquet"))
+    # in mode complete each batch has all counts so far; the last one stays
+    sink = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    sink.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/counts")).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{folder}/counts")
+
+
 def _column(name: str, expr, sql: str) -> None:
     def run(spark, d):
         return reads(spark, d).where("seq is not null").select("read_idx", expr(F.col("seq")).alias("v"))
@@ -164,9 +195,6 @@ def _pool(spark, d):
     return D.pool(D.dereplicate(reads(spark, d))).select("seq", "abundance", "n_samples", "uidx")
 
 
-TABLE = f"{R}, t as (select sample, seq, count(*) abundance from r where length(seq) > 0 and list_sum(list_transform(qual, lambda x: pow(10.0, -x / 10.0))) <= 4.0 and not regexp_matches(seq, '[^ACGT]') group by 1, 2)"
-
-
 def seq_table(spark: SparkSession, d: str) -> DataFrame:
     kept = qc.filter_reads(reads(spark, d), qc.Filter(trunc_q=None, max_ee=4.0))
     return D.sequence_table(D.dereplicate(kept))

@@ -138,6 +138,12 @@ def _primer(spark, d):
     return out.select("read_idx", "sample", "seq")
 
 
+@query("primer_indels")
+def _primer_indels(spark, d):
+    out = primers.remove_primers(reads(spark, d), "TCTACGCCGGTGCAAYCA", max_mismatch=2, allow_indels=True)
+    return out.select("read_idx", "sample", "seq")
+
+
 # --- chimeras
 
 _PARENTS = f"{TABLE}, pp as (select a.sample, a.seq child, b.seq parent from t a join t b on a.sample = b.sample where b.abundance > 1.5 * a.abundance and b.abundance >= 2 and a.seq <> b.seq)"
@@ -355,6 +361,17 @@ def _exact(spark, d):
     return T.species_hits(t.where(F.length("seq") >= 70).select(F.substring("seq", 11, 60).alias("seq")), t).select("seq", "ref_id")
 
 
+@query("tax_greengenes", """with k as (select ref_id, list_transform(string_split_regex(id, ';\\s*'), lambda x: regexp_replace(x, '^[a-z]__', '')) p from reffasta where id is not null and sequence is not null),
+c as (select ref_id, list_transform(range(1, 7), lambda i: coalesce(p[i], '')) p from k), n as (select ref_id, list_slice(p, 1, coalesce(nullif(list_position(p, ''), 0) - 1, 6)) p from c)
+select ref_id, concat(array_to_string(p, ';'), ';') header from n where len(p) > 0""")
+def _greengenes(spark, d):
+    """Headers of all references, taken as taxa with prefixes."""
+    t = spark.read.parquet(f"{d}/reffasta.parquet").where("id is not null and sequence is not null")
+    refs = t.select(F.col("ref_id").cast("string").alias("header"), F.upper("sequence").alias("seq"))
+    out = T.greengenes_taxonomy(refs.withColumn("seq", F.concat_ws("|", "header", "seq")), t.select(F.col("ref_id").cast("string").alias("id"), F.col("id").alias("taxon")))
+    return out.select(F.split("seq", r"\|")[0].cast("long").alias("ref_id"), "header")
+
+
 @query("tax_match_genera", "with k as (select ref_id, trim(string_split(id, ';')[6]) tax, trim(string_split(id, ';')[7]) sp, trim(regexp_extract(string_split(id, ';')[6], '^[^/_ ]*')) bin from reffasta where id is not null) select ref_id, coalesce(tax <> '' and bin <> '' and (tax = bin or starts_with(tax, concat(bin, ' ')) or starts_with(tax, concat(bin, '_')) or starts_with(tax, concat(bin, '/')) or ends_with(tax, concat('/', bin))), false) hit from k")
 def _match_genera(spark, d):
     t = spark.read.parquet(f"{d}/reffasta.parquet").where("id is not null")

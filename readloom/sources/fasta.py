@@ -1,7 +1,9 @@
 """FASTA and FASTQ as data sources, and tables written as such files.
 
 ``spark.dataSource.register(FastaSource)``, then ``spark.read.format("fasta").load(path)``. A file is a partition; an
-uncompressed FASTQ or FASTA file larger than ``splitBytes`` is split at record boundaries.
+uncompressed FASTQ or FASTA file larger than ``splitBytes`` is split at record boundaries. Options: ``splitBytes``;
+``qualityOffset`` (33, 64 or 'auto', see ``quality_offset``); ``sampleName`` ('prefix': a file's name up to the first '_' or
+'.', or 'file': all of it but the ending). ``path`` may be a file, a folder or a pattern. Records are handed over as Arrow batches.
 """
 
 from __future__ import annotations
@@ -10,13 +12,18 @@ import bz2
 import glob
 import gzip
 import os
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from readloom.cluster import write_table
 from readloom.operators.derep import with_rank
 
 #: Endings tried in this order; the first with any file in a folder is taken for all.
@@ -28,7 +35,10 @@ def find_files(path: str, endings: tuple[str, ...] = FASTQ_ENDINGS) -> list[str]
     if not os.path.isdir(path):
         found = sorted(glob.glob(path))
     else:
-        found = next((f for e in endings if (f := sorted(glob.glob(os.path.join(glob.escape(path), f"*{e}"))))), [])
+        by_ending = {e: f for e in endings if (f := sorted(glob.glob(os.path.join(glob.escape(path), f"*{e}"))))}
+        if len(by_ending) > 1:
+            warnings.warn(f"files with several endings in {path}; only those with {next(iter(by_ending))} are read", stacklevel=2)
+        found = next(iter(by_ending.values()), [])
     if not found:
         raise FileNotFoundError(f"no sequence files in {path}")
     return found
@@ -61,6 +71,12 @@ def _sample(path: str) -> str:
     return os.path.basename(path).split(".")[0].split("_")[0]
 
 
+def file_name(path: str) -> str:
+    """The name of a file without the ending that says it holds sequences."""
+    name = os.path.basename(path)
+    return next((name[: -len(e)] for e in (*FASTQ_ENDINGS, ".fq.gz", ".fq", ".fasta.gz", ".fa.gz", ".fasta", ".fa") if name.endswith(e)), name)
+
+
 def fasta_records(f, start: int = 0, end: int | None = None) -> Iterator[tuple[str, str]]:
     """(header, sequence) of the records whose '>' lies in [start, end). Upper case; U is kept."""
     f.seek(start)
@@ -114,33 +130,64 @@ def fastq_records(f, start: int = 0, end: int | None = None) -> Iterator[tuple[s
         yield name[1:].decode().rstrip("\r\n"), seq.decode().strip().upper(), qual.decode().rstrip("\r\n")
 
 
+#: Records of one Arrow batch.
+BATCH = 4096
+
+
+def quality_offset(f) -> int:
+    """From which number the letters of a file's qualities count: 64 if no letter in the whole file lies below ';' and some lie above 'J', else 33. The first letter below ';' decides; where there is none the file is read to its end."""
+    high = False
+    for _, _, qual in fastq_records(f):
+        if qual and min(qual) < ";":
+            return 33
+        high = high or (bool(qual) and max(qual) > "J")
+    return 64 if high else 33
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, endings: tuple[str, ...]):
         self.paths = find_files(options["path"], endings)
+        if options.get("files"):  # only these names of what the path has
+            wanted = set(options["files"].split("\n"))
+            self.paths = [f for f in self.paths if os.path.basename(f) in wanted]
         self.split = int(options.get("splitBytes", 128 << 20))
         self.offset = options.get("qualityOffset", "auto")
+        self.sample = _sample if options.get("sampleName", "prefix") == "prefix" else file_name
 
     def partitions(self):
         return _parts(self.paths, self.split)
 
+    def read(self, p: Part) -> Iterator[pa.RecordBatch]:
+        with _open(p.path) as f:
+            records = self.records(f, p)
+            while rows := list(islice(records, BATCH)):
+                yield self.batch(p, rows)
+
 
 class _FastaReader(_Reader):
-    def read(self, p: Part):
-        with _open(p.path) as f:
-            for header, seq in fasta_records(f, p.start, p.end):
-                yield _sample(p.path), header, seq
+    def records(self, f, p: Part) -> Iterator[tuple]:
+        return fasta_records(f, p.start, p.end)
+
+    def batch(self, p: Part, rows: list[tuple]) -> pa.RecordBatch:
+        header, seq = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([self.sample(p.path)] * len(rows)), pa.array(header, pa.string()), pa.array(seq, pa.string())], ["sample", "header", "seq"])
 
 
 class _FastqReader(_Reader):
-    def read(self, p: Part):
-        with _open(p.path) as f:
-            offset = None if self.offset == "auto" else int(self.offset)
-            if offset is None:  # old files count from 64: none of their letters is below ';'
-                head = [q for _, (_, _, q) in zip(range(1000), fastq_records(f, 0, None), strict=False)]
-                offset = 64 if head and min(map(min, filter(None, head)), default="!") >= ";" and max(map(max, filter(None, head)), default="!") > "J" else 33
-                f.seek(0)
-            for i, (name, seq, qual) in enumerate(fastq_records(f, p.start, p.end)):
-                yield _sample(p.path), p.start * 1_000_000 + i if p.start else i, name, seq, [ord(c) - offset for c in qual]
+    def records(self, f, p: Part) -> Iterator[tuple]:
+        self.base = quality_offset(f) if self.offset == "auto" else int(self.offset)
+        self.at = p.start * 1_000_000
+        return fastq_records(f, p.start, p.end)
+
+    def batch(self, p: Part, rows: list[tuple]) -> pa.RecordBatch:
+        name, seq, qual = zip(*rows, strict=True)
+        letters = np.frombuffer("".join(qual).encode("latin-1"), np.uint8).astype(np.int16) - self.base
+        ends = np.concatenate([[0], np.cumsum([len(q) for q in qual])]).astype(np.int32)
+        index = np.arange(self.at, self.at + len(rows))
+        self.at += len(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.sample(p.path)] * len(rows)), pa.array(index, pa.int64()), pa.array(name, pa.string()), pa.array(seq, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(letters.astype(np.int8)))], ["sample", "read_idx", "id", "seq", "qual"]
+        )
 
 
 class FastaSource(DataSource):
@@ -235,6 +282,28 @@ def uniques_to_fasta(uniques: DataFrame, header: Column | None = None) -> DataFr
     return ranked.select((header if header is not None else F.concat(F.lit("sq"), F.col("i").cast("string"), F.lit(";size="), F.col("abundance").cast("string"), F.lit(";"))).alias("header"), "seq")
 
 
+def _mothur_lines(table: DataFrame) -> DataFrame:
+    """(line_no, line): the head and a line for each sample. Each line has a number for every sequence, as the layout asks, made from the sample's own rows; there is no column for each sequence in any plan."""
+    from readloom.operators.derep import column_order
+
+    order = write_table(column_order(table).select("seq", "col"), "otu-columns")
+    n = order.count()
+    head = order.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "seq"))), lambda x: x["seq"]), " ").alias("s")).select(F.lit("").alias("line_no"), F.concat_ws(" ", F.lit("label Group numOtus"), F.nullif("s", F.lit(""))).alias("line"))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for sample, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts = ["0"] * n
+                for c in cells:
+                    counts[c["col"] - 1] = str(c["abundance"])
+                out.append(" ".join(["all", sample, str(n), *counts]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["line_no", "line"])
+
+    cells = table.groupBy("sample", "seq").agg(F.sum("abundance").alias("abundance")).join(order, "seq").groupBy("sample").agg(F.collect_list(F.struct("col", "abundance")).alias("cells"))
+    return head.unionByName(cells.mapInArrow(lines, "line_no string, line string"))
+
+
 def write_otu_table(table: DataFrame, path: str, layout: str) -> None:
     """A table of counts as text: 'qiime' (sequences as rows, tabs, '#OTU ID' first) or 'mothur' (samples as rows: label, Group, numOtus, counts)."""
     from readloom.operators.derep import pivot_samples
@@ -242,9 +311,7 @@ def write_otu_table(table: DataFrame, path: str, layout: str) -> None:
     if layout == "qiime":
         pivot_samples(table).withColumnRenamed("seq", "#OTU ID").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
     elif layout == "mothur":
-        wide = table.groupBy("sample").pivot("seq").agg(F.sum("abundance")).na.fill(0)
-        seqs = [c for c in wide.columns if c != "sample"]
-        wide.select(F.lit("all").alias("label"), F.col("sample").alias("Group"), F.lit(len(seqs)).alias("numOtus"), *seqs).coalesce(1).write.mode("overwrite").csv(path, sep=" ", header=True)
+        _mothur_lines(table).coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
     else:
         raise ValueError(layout)
 
