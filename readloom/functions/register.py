@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions.seq import filled
 from readloom.kernels import align as A
 from readloom.kernels import words
 from readloom.kernels.poisson import tail
@@ -31,24 +32,18 @@ def register(spark: SparkSession, genome: str | None = None) -> None:
     @F.pandas_udf("int")
     def nw_hamming(a: pd.Series, b: pd.Series) -> pd.Series:
         known, als = over(a, b)
-        out = pd.Series([None] * len(a), dtype="Int32")
-        out[known] = [sum(A.evaluate(x)[1:]) for x in als]
-        return out
+        return filled(known, [sum(A.evaluate(x)[1:]) for x in als], "Int32")
 
     @F.pandas_udf("double")
     def seq_complexity(a: pd.Series) -> pd.Series:
         known = a.notna().to_numpy()
-        out = pd.Series([None] * len(a), dtype="float64")
-        out[known] = words.complexities(a[known].tolist(), 2, None, 5)
-        return out
+        return filled(known, words.complexities(a[known].tolist(), 2, None, 5), "float64")
 
     @F.pandas_udf("double")
     def kmer_dist(a: pd.Series, b: pd.Series) -> pd.Series:
         n = np.minimum(a.str.len(), b.str.len()) - 4
         known = (n > 0).to_numpy()
-        out = pd.Series([None] * len(a), dtype="float64")
-        out[known] = 1 - words.shared_counts(a[known].tolist(), b[known].tolist(), 5) / n[known].to_numpy()
-        return out
+        return filled(known, 1 - words.shared_counts(a[known].tolist(), b[known].tolist(), 5) / n[known].to_numpy(), "float64")
 
     @F.pandas_udf("double")
     def pois_sf(k: pd.Series, mean: pd.Series) -> pd.Series:
@@ -65,10 +60,8 @@ def register(spark: SparkSession, genome: str | None = None) -> None:
         @F.pandas_udf("boolean")
         def is_phix(a: pd.Series) -> pd.Series:
             known = a.notna().to_numpy()
-            out = pd.Series([None] * len(a), dtype="boolean")
             seqs = a[known].tolist()
-            out[known] = (forward.hits(seqs, True) >= 2) | (back.hits(seqs, True) >= 2)
-            return out
+            return filled(known, (forward.hits(seqs, True) >= 2) | (back.hits(seqs, True) >= 2), "boolean")
 
         spark.udf.register("is_phix", is_phix)
     register_sources(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,13 @@ from readloom.kernels import words
 CODES, COMPLEMENTS = "ACGTRYKMBVDHSWN", "TGCAYRMKVBHDSWN"
 
 
+def filled(known: np.ndarray, values, kind: str) -> pd.Series:
+    """The values where something is known, in order, and nulls elsewhere."""
+    out = np.full(len(known), None, object)
+    out[known] = values
+    return pd.Series(out, dtype=kind)
+
+
 def reverse_complement(seq: Column) -> Column:
     """IUPAC-aware; '' gives '', null gives null."""
     return F.reverse(F.translate(seq, CODES, COMPLEMENTS))
@@ -58,9 +66,7 @@ def complexity(seq: Column, k: int = 2, window: int | None = None, by: int = 5)
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
         known = x.notna().to_numpy()
-        out = pd.Series([None] * len(x), dtype="float64")
-        out[known] = words.complexities(x[known].tolist(), k, window, by)
-        return out
+        return filled(known, words.complexities(x[known].tolist(), k, window, by), "float64")
 
     return run(seq)
 
@@ -72,9 +78,7 @@ def shared_kmers(a: Column, b: Column, k: int) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         known = (x.notna() & y.notna()).to_numpy()
         p, q = x[known].tolist(), y[known].tolist()
-        out = pd.Series([None] * len(x), dtype="Int32")
-        out[known] = words.shared_counts(p, q, k) if k <= 7 else [words.shared(s, t, k) for s, t in zip(p, q, strict=True)]
-        return out
+        return filled(known, words.shared_counts(p, q, k) if k <= 7 else [words.shared(s, t, k) for s, t in zip(p, q, strict=True)], "Int32")
 
     return run(a, b)
 
@@ -119,8 +123,6 @@ def word_hits(seq: Column, known: frozenset[str], word: int, non_overlapping: bo
     @F.pandas_udf("int")
     def run(x: pd.Series) -> pd.Series:
         valid = x.notna().to_numpy()
-        out = pd.Series([None] * len(x), dtype="Int32")
-        out[valid] = look_up.hits(x[valid].tolist(), non_overlapping)
-        return out
+        return filled(valid, look_up.hits(x[valid].tolist(), non_overlapping), "Int32")
 
     return run(seq)

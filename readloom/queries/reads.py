@@ -119,7 +119,10 @@ def _stream(spark, d):
 
     folder = f"{shared_dir(spark)}/readloom/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/reads.parquet").schema
-    counted = dereplicate_stream(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/reads.parquet"))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/reads.parquet")
+    folder_of_files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder_of_files else "reads.parquet")
+    counted = dereplicate_stream(source.parquet(f"{d}/reads.parquet" if folder_of_files else d))
     # in mode complete each batch has all counts so far; the last one stays
     sink = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     sink.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/counts")).start().awaitTermination()
