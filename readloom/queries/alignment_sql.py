@@ -45,3 +45,11 @@ def covered(x: str, y: str, most: int) -> str:
     skip = _LEAD.format(x)
     credit = f"least({_LEAD.format(f'substr({y}, {skip} + 1)')}, greatest({most} - {skip}, 0))"
     return f"({credit} + coalesce(list_position(list_transform(range({skip} + {credit} + 1, length({x}) + 1), lambda i: {x}[i] <> {y}[i]), true) - 1, length({x}) - {skip} - {credit}))"
+
+
+def covered_one_off(x: str, y: str, most: int) -> str:
+    """The same with one difference stepped over, whose column counts where the query has a letter in the next one."""
+    skip = _LEAD.format(x)
+    at = f"({skip} + {covered(x, y, most)} + 1)"
+    rest = f"coalesce(list_position(list_transform(range({at} + 1, length({x}) + 1), lambda i: {x}[i] <> {y}[i]), true) - 1, length({x}) - {at})"
+    return f"({covered(x, y, most)} + case when {at} < length({x}) then case when {x}[{at} + 1] <> '-' then 1 else 0 end + {rest} else 0 end)"

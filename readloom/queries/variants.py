@@ -15,7 +15,7 @@ from readloom.kernels.poisson import tail
 from readloom.operators import chimera, derep, packed, pairs, primers, qc
 from readloom.operators import taxonomy as T
 from readloom.queries.reads import OTHER, PAIRS, TABLE, R, reads, seq_table
-from readloom.queries.alignment_sql import INDELS, MATCHES, MISMATCHES, alignments, covered
+from readloom.queries.alignment_sql import INDELS, MATCHES, MISMATCHES, alignments, covered, covered_one_off
 from readloom.queries.reads import pairs as mates
 
 QUERIES: dict = {}
@@ -132,15 +132,24 @@ def _nwextract(spark, d):
     return _seqs(spark, d).select("seq", pairs.extract_aligned(F.lit(OTHER[10:80]), F.col("seq")).alias("part"))
 
 
-@query("primer_trim")
+#: A primer, and what each of its letters stands for.
+PRIMER = "TCTACGCCGGTGCAAYCA"
+_SETS = "[" + ", ".join(f"'{primers.IUPAC[c]}'" for c in PRIMER) + "]"
+_TRIM = f"""with {R}, s as (select read_idx, sample, seq, reverse(translate(seq, 'ACGTN', 'TGCAN')) rc from r where seq is not null),
+pl as (select *, {{0}} pf, {{1}} pr from s)
+select read_idx, sample, case when pf is not null then substr(seq, cast(pf + {len(PRIMER)} as int)) else substr(rc, cast(pr + {len(PRIMER)} as int)) end seq from pl where coalesce(pf, pr) + {len(PRIMER)} < length(seq)"""
+_PLACE = f"list_min(list_filter(range(1, length({{0}}) - {len(PRIMER) - 2}), lambda p: len(list_filter(range(1, {len(PRIMER) + 1}), lambda i: not contains({_SETS}[i], {{0}}[p + i - 1]))) <= 2))"
+
+
+@query("primer_trim", _TRIM.format(_PLACE.format("seq"), _PLACE.format("rc")))
 def _primer(spark, d):
-    out = primers.remove_primers(reads(spark, d), "TCTACGCCGGTGCAAYCA", max_mismatch=2)
+    out = primers.remove_primers(reads(spark, d), PRIMER, max_mismatch=2)
     return out.select("read_idx", "sample", "seq")
 
 
 @query("primer_indels")
 def _primer_indels(spark, d):
-    out = primers.remove_primers(reads(spark, d), "TCTACGCCGGTGCAAYCA", max_mismatch=2, allow_indels=True)
+    out = primers.remove_primers(reads(spark, d), PRIMER, max_mismatch=2, allow_indels=True)
     return out.select("read_idx", "sample", "seq")
 
 
@@ -182,12 +191,23 @@ def _remove(spark, d):
     return chimera.remove_chimeras(seq_table(spark, d))
 
 
-@query("chimera_per_sample")
+_FEW = f"""{TABLE}, pp as (select a.sample, a.seq child, b.seq parent from t a join t b on a.sample = b.sample where b.abundance > 2 * a.abundance and b.abundance > 8 and a.seq <> b.seq), dp as (select distinct child a, parent b from pp), {alignments('dp', band=16)},
+cv as (select a child, b parent, {covered('al0', 'al1', 16)} l, {covered('reverse(al0)', 'reverse(al1)', 15)} r from al),
+fl as (select sample, child seq, count(*) >= 2 and max(case when l + r < length(child) then l else 0 end) + max(case when l + r < length(child) then r else 0 end) >= length(child) hit from pp join cv using (child, parent) group by 1, 2, length(child))"""
+
+
+@query("chimera_per_sample", f"with recursive {_FEW} select t.sample, t.seq, cast(t.abundance as bigint) abundance from t left join fl using (sample, seq) where not coalesce(hit, false)")
 def _per_sample(spark, d):
     return chimera.remove_chimeras(seq_table(spark, d), "per-sample")
 
 
-@query("chimera_denovo_one_off")
+_ONE_OFF = f"""{TABLE}, o as (select seq, sum(abundance) n from t group by 1), pp as (select a.seq a, b.seq b from o a join o b on b.n > 2 * a.n and b.n > 8 and a.seq <> b.seq), {alignments('pp', band=16)},
+cv as (select a, b, {covered('al0', 'al1', 16)} l, {covered('reverse(al0)', 'reverse(al1)', 15)} r, {covered_one_off('al0', 'al1', 16)} lo, {covered_one_off('reverse(al0)', 'reverse(al1)', 15)} ro, {MISMATCHES} + {INDELS} >= 4 far from al),
+us as (select *, l + r < length(a) u, l + r < length(a) and far f from cv),
+fl as (select a seq, count(*) n, max(case when u then l else 0 end) l, max(case when u then r else 0 end) r, max(case when f then l else 0 end) fl, max(case when f then r else 0 end) fr, max(case when f then lo else 0 end) lo, max(case when f then ro else 0 end) ro from us group by 1)"""
+
+
+@query("chimera_denovo_one_off", f"with recursive {_ONE_OFF} select o.seq, coalesce(fl.n >= 2 and (l + r >= length(o.seq) or fl + ro >= length(o.seq) or lo + fr >= length(o.seq)), false) chimeric from o left join fl using (seq)".replace("fl + ro", "fl.fl + ro"))
 def _denovo(spark, d):
     pooled = seq_table(spark, d).groupBy("seq").agg(F.sum("abundance").alias("abundance"))
     return chimera.chimeras_denovo(pooled, allow_one_off=True)
