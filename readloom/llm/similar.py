@@ -18,12 +18,10 @@ from readloom.operators.components import connected_components
 
 #: Bits of a bitmap for each word of a set of average size: enough that sets without a word in common share far fewer bits than alike ones.
 BITS_PER_WORD = 1.9
-#: Children of a node of a tree.
-FAN = 16
-#: Neighbours that share this part of their bits go below one node.
-NEAR = 0.8
-#: Rows of a tree traversed against all of another at once.
-BUNCH = 8
+#: Bits of the bitmap of a node, and how many words the records below one have together for each of its bits: so few that a set without a word in common with them still finds less than half of its own there.
+WIDE, LOAD = 1 << 16, 0.6
+#: Rows of a level compared with all of another at once.
+BUNCH = 64
 #: Tiles whose summaries meet in one task.
 SUMMARIES = 1024
 SEPARATOR = "\0"
@@ -87,21 +85,24 @@ def meeting(x: Level, y: Level, least: float, i: np.ndarray, j: np.ndarray | Non
 
 
 class Tree:
-    """The word sets of one block: leaves are records, nodes are up to FAN neighbouring leaves that look alike (a record without a lookalike is a node alone), branches are FAN nodes, and the root is all."""
+    """The word sets of one block. Leaves are records, nodes are runs of neighbouring ones with about LOAD * WIDE words (some hundred sequences, or one long text), and the root is all.
+
+    A leaf has a small bitmap; a node has the OR of the bitmaps of its records, with WIDE bits, and the range of their sizes.
+    """
 
     def __init__(self, ids: np.ndarray, size: np.ndarray, bits: np.ndarray, texts: list[str], width: int):
         self.ids, self.texts, self.width, self.size = ids, texts, width, size
-        n = len(ids)
         self.leaf = Level(bits.T, size, size, size - np.bitwise_count(bits).sum(1, dtype=np.int64))
-        same = np.bitwise_count(bits[1:] & bits[:-1]).sum(1, dtype=np.int64)
-        near = np.zeros(n, bool)
-        near[1:] = same >= NEAR * np.maximum(*(np.bitwise_count(v).sum(1, dtype=np.int64) for v in (bits[1:], bits[:-1])))
-        start = np.flatnonzero(~near)
-        lead = np.repeat(start, np.diff(np.append(start, n)))
-        self.start = np.append(np.flatnonzero(~near | ((np.arange(n) - lead) % FAN == 0)), n)
-        self.node = self.leaf.above(self.start[:-1])
-        self.branch = self.node.above(np.arange(0, len(self.node), FAN))
-        self.root = self.branch.above(np.zeros(1, np.int64))
+        self.root = self.leaf.above(np.zeros(1, np.int64))
+        codes, ends = concat(texts)
+        starts, owner = window_starts(ends, width)
+        self.word = (mix(window_hashes(codes, width)[starts] >> np.uint64(20)) & np.uint64(WIDE - 1)).astype(np.intp)
+        self.first = np.searchsorted(owner, np.arange(len(ids)))  # every text has a word
+        run = (self.first // (LOAD * WIDE)).astype(np.int64)
+        self.start = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(ids))
+        self.low, self.high = np.minimum.reduceat(size, self.start[:-1]), np.maximum.reduceat(size, self.start[:-1])
+        self.wide = np.zeros((len(self.start) - 1, WIDE), np.uint8)
+        self.wide[np.repeat(np.arange(len(self.wide)), np.diff(self.start))[owner], self.word] = 1
         self._sets: dict[int, np.ndarray] = {}
 
     def set_of(self, i: int) -> np.ndarray:
@@ -112,51 +113,25 @@ class Tree:
         return self._sets[i]
 
 
-def _below(n: int, of: np.ndarray) -> np.ndarray:
-    """The children of nodes ``of``, in order, of a level of n."""
-    return (of[:, None] * FAN + np.arange(FAN)).ravel()[: None if not len(of) or (of[-1] + 1) * FAN <= n else n - (of[-1] + 1) * FAN]
-
-
 def candidates(x: Tree, y: Tree, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves that bitmaps and sizes can't rule out, in bunches: both trees are traversed at once, root against root, branches against branches, nodes against nodes, leaves against leaves, and below a pair that is ruled out nothing is looked at."""
+    """Pairs of leaves that bitmaps and sizes can't rule out, in bunches: both trees are traversed at once, root against root, the nodes of y against the leaves of x, and leaves against leaves only where a node may hold something alike.
+
+    No set below a node shares more words with a leaf than the leaf has words whose bit is set in the node's bitmap.
+    """
+    c = least / (1 + least)
     if not len(meeting(x.root, y.root, least, np.zeros(1, np.int64), None)[0]):
         return
-    for at in range(0, len(x.branch), BUNCH):
-        i, j = meeting(x.branch, y.branch, least, np.arange(at, min(at + BUNCH, len(x.branch))), None)
-        if same:
-            keep = i <= j
-            i, j = i[keep], j[keep]
-        for b in np.unique(i):
-            mine = j[i == b]
-            cols = None if len(mine) == len(y.branch) else _below(len(y.node), mine)
-            k, q = meeting(x.node, y.node, least, np.arange(b * FAN, min((b + 1) * FAN, len(x.node))), cols)
+    for j, wide in enumerate(y.wide):
+        shared = np.add.reduceat(wide[x.word], x.first, dtype=np.int32)
+        keep = (shared >= c * (x.size + y.low[j]) - 0.01) & (x.size >= least * y.low[j] - 1e-9) & (y.high[j] >= least * x.size - 1e-9)
+        below = np.arange(y.start[j], y.start[j + 1])
+        i = np.flatnonzero(keep[: below[-1]] if same else keep)
+        for at in range(0, len(i), BUNCH):
+            left, right = meeting(x.leaf, y.leaf, least, i[at : at + BUNCH], below)
             if same:
-                keep = k <= q
-                k, q = k[keep], q[keep]
-            if len(k):
-                left, right = _leaves(x, y, k, q)
-                if same:
-                    keep = left < right
-                    left, right = left[keep], right[keep]
-                yield _alike(x, y, least, left, right)
-
-
-def _alike(x: Tree, y: Tree, least: float, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of leaves those that their own bitmaps and sizes leave."""
-    p, q = x.size[left], y.size[right]
-    keep = np.minimum(p, q) >= least * np.maximum(p, q) - 1e-9
-    left, right = left[keep], right[keep]
-    shared = np.bitwise_count(x.leaf.bits[:, left] & y.leaf.bits[:, right]).sum(0, dtype=np.int64) + np.minimum(x.leaf.surplus[left], y.leaf.surplus[right])
-    keep = shared >= least / (1 + least) * (x.size[left] + y.size[right]) - 0.01
-    return left[keep], right[keep]
-
-
-def _leaves(x: Tree, y: Tree, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every leaf below node i[n] with every leaf below node j[n], for all n."""
-    a, b = np.diff(x.start)[i], np.diff(y.start)[j]
-    of = np.repeat(np.arange(len(i)), a * b)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(a * b) - a * b, a * b)
-    return x.start[i][of] + k // b[of], y.start[j][of] + k % b[of]
+                keep_ = left < right
+                left, right = left[keep_], right[keep_]
+            yield left, right
 
 
 class Forest:
@@ -329,13 +304,13 @@ def similar_groups(df: DataFrame, id_col: str, text: Column, least: float, width
     lookalikes become neighbours, and cut into blocks of at most ``block``; each block is a tree of bitmaps and size
     ranges, and up to ``most_blocks`` of them are a tile (fewer where the tiles would be too few for all tasks). The trees
     are traversed in pairs from the top: pairs of tiles and of blocks by their summaries alone (``tile_pairs``), and only
-    what they leave is sent to meet; there branches, nodes and leaves follow, by the largest overlap that the bitmaps
-    allow and by size ranges. What is left is checked exactly, and a spanning forest of the links comes out. No link between
+    what they leave is sent to meet; there nodes and leaves follow, by the largest overlap that the bitmaps allow and by
+    size ranges. What is left is checked exactly, and a spanning forest of the links comes out. No link between
     different texts is lost: what is left out is implied.
 
-    Where few records look alike, ORs of bitmaps soon hold most bits and upper levels rule out by size only; then the
-    comparisons grow with the square of the number of different texts, and each text is sent to as many meetings as there
-    are tiles within its range of sizes.
+    Where few records look alike and sizes are alike, summaries rule out nothing; then the comparisons, of leaves with
+    nodes of some hundred records, grow with the square of the number of different texts, and each text is sent to as
+    many meetings as there are tiles.
 
     Texts shorter than ``width`` and nulls have no words and are in no group. Texts without a partner give no row, and
     neither do groups of copies of one text. Ties don't exist; an empty table gives no rows.
