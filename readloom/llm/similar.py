@@ -237,7 +237,7 @@ def _pack(block: int, per_tile: int):
             size = t.column("size").to_numpy()
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(size), -1)
             surplus = size - np.bitwise_count(bits).sum(1, dtype=np.int64)
-            texts = SEPARATOR.join(x.replace(SEPARATOR, " ") for x in t.column("text").to_pylist())
+            texts = SEPARATOR.join(t.column("text").to_pylist())
             return pa.RecordBatch.from_pylist(
                 [{"tile": (part << 24) + number // per_tile, "low": int(size.min()), "high": int(size.max()), "surplus": int(surplus.max()), "bits": np.bitwise_or.reduce(bits).tobytes(), "ids": _zip(t.column("id").to_numpy()), "sizes": _zip(size), "leaves": bits.tobytes(), "texts": _zip(texts)}],
                 schema=pa.schema([("tile", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("surplus", pa.int64()), *((c, pa.binary()) for c in ("bits", "ids", "sizes", "leaves", "texts"))]),
@@ -317,7 +317,7 @@ def similar_groups(df: DataFrame, id_col: str, text: Column, least: float, width
     """
     copies = fold_copies(df, id_col, text, text=True)
     spark = df.sparkSession
-    texts = copies.groups.where(F.length("text") >= width).select(F.col("first_id").alias("id"), "text")
+    texts = copies.groups.where(F.length("text") >= width).select(F.col("first_id").alias("id"), F.regexp_replace("text", "\\x00", " ").alias("text"))  # the sign that parts texts in a block
     n, mean = texts.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.length("text")), F.lit(width))).first()
     n_bits = 64 * int(max(2, -(-BITS_PER_WORD * (mean - width + 1) // 64)))
     cores = spark.sparkContext.defaultParallelism
