@@ -50,7 +50,7 @@ def _eligible(children: pa.Table, parents: pa.Table, min_fold: float) -> tuple[n
 def _in_blocks(children: DataFrame, parents: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Every child against every parent of its sample, in blocks: a task has at most about BLOCK of each, whatever the size of the sample. No pairs are shuffled; the kernel returns what it found for each child.
 
-    children and parents: (sample, seq, abundance, ul, ur). Blocks are drawn by a hash of the sequence.
+    children and parents: (sample, seq, abundance) and bounds. Blocks are drawn by a hash of the sequence.
     """
     sides = children.withColumn("role", F.lit(0)).unionByName(parents.withColumn("role", F.lit(1)))
     sizes = write_table(sides.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), *(F.greatest(F.ceil(F.count_if(F.col("role") == r) / BLOCK), F.lit(1)).cast("int").alias(f"n{r}") for r in (0, 1))), "block-counts")
@@ -59,7 +59,7 @@ def _in_blocks(children: DataFrame, parents: DataFrame, kernel: Callable[[pa.Tab
     own, other = (F.when(F.col("role") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("n0", "n1"), ("n1", "n0")))
     sent = known.withColumn("_own", F.pmod(F.xxhash64("seq"), own).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), other - 1)))
     child_at = F.when(F.col("role") == 0, F.col("_own")).otherwise(F.col("_other"))
-    sent = sent.select("sample", child_at.alias("cb"), F.when(F.col("role") == 0, F.col("_other")).otherwise(F.col("_own")).alias("pb"), "role", "seq", "abundance", "ul", "ur")
+    sent = sent.select("sample", child_at.alias("cb"), F.when(F.col("role") == 0, F.col("_other")).otherwise(F.col("_own")).alias("pb"), "role", *children.columns[1:])
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(t: pa.Table) -> pa.Table:
@@ -77,6 +77,68 @@ def _best(i: np.ndarray, v: np.ndarray, use: np.ndarray, n: int) -> pa.Array:
     return pa.array(out)
 
 
+#: What bounds a child's evidence with one difference stepped over: l, r of any parent, and l, r, lo, ro of those that may have enough differences.
+ONE_OFF = ("ul", "ur", "ufl", "ufr", "ulo", "uro")
+
+
+def _one_off_bounds(seqs: list[str], others: list[str], i: np.ndarray, j: np.ndarray, max_shift: int, distance: int) -> dict[str, np.ndarray]:
+    """The bounds of pairs (seqs[i], others[j]) by the names of ONE_OFF."""
+    if not len(i):
+        return {x: np.zeros(0, np.int64) for x in ONE_OFF}
+    left, right, left_off, right_off, far = (v[i, j] for v in A.most_covered_one_off(seqs, others, max_shift, distance))
+    return dict(zip(ONE_OFF, (v.astype(np.int64) for v in (left, right, left * far, right * far, left_off * far, right_off * far)), strict=True))
+
+
+def _coverages(seqs: list[str], others: list[str], i: np.ndarray, j: np.ndarray, one_off: bool, max_shift: int, distance: int) -> np.ndarray:
+    """A row for each pair: the four numbers of ``coverage``, and whether it has enough differences."""
+    found = np.zeros((len(i), 5), np.int64)
+    for k in range(0, len(i), 4096):
+        als = A.align([seqs[x] for x in i[k : k + 4096]], [others[x] for x in j[k : k + 4096]], band=max_shift, **SCORES)
+        for at, al in enumerate(als, k):
+            found[at, :4] = A.coverage(al, one_off, max_shift)
+            found[at, 4] = one_off and sum(A.evaluate(al)[1:]) >= distance
+    return found
+
+
+def _evidence_of(i: np.ndarray, found: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    """l, r, fl, fr, lo, ro of each child from its pairs' coverages."""
+    use = found[:, 0] + found[:, 1] < size[i]
+    far = use & (found[:, 4] > 0)
+    return [_best(i, found[:, at], on, len(size)) for at, on in zip((0, 1, 0, 1, 2, 3), (use, use, far, far, far, far), strict=True)]
+
+
+def _measure_one_off(seqs: list[str], others: list[str], i: np.ndarray, j: np.ndarray, most: dict[str, np.ndarray], max_shift: int, distance: int) -> dict[str, pa.Array]:
+    """l, r, fl, fr, lo, ro of each child. most: its bounds over all parents, also those of other blocks.
+
+    Only pairs are aligned whose bounds reach the length of the child together with the best bound of the other side. First
+    come, for each child and bound, the pairs with the most; a child that these make a chimera needs no others.
+    """
+    size = np.array([len(s) for s in seqs], np.int64)
+    mine = _one_off_bounds(seqs, others, i, j, max_shift, distance)
+    keep = np.zeros(len(i), bool)
+    for a, b in (("ul", "ur"), ("ufl", "uro"), ("ulo", "ufr")):
+        keep |= (mine[a] + most[b][i] >= size[i]) | (mine[b] + most[a][i] >= size[i])
+    i, j, mine = i[keep], j[keep], {x: v[keep] for x, v in mine.items()}
+    todo, found = np.ones(len(i), bool), np.zeros((len(i), 5), np.int64)
+    found[:, 0] = size[i]  # a pair that isn't aligned is no evidence
+    for turn in (1, 4, len(i)):
+        now = np.zeros(len(i), bool)
+        for v in mine.values():
+            open_ = np.flatnonzero(todo)
+            order = open_[np.lexsort((j[open_], -v[open_], i[open_]))]
+            first = np.searchsorted(i[order], i[order])
+            now[order[np.arange(len(order)) - first < turn]] = True
+        found[now] = _coverages(seqs, others, i[now], j[now], True, max_shift, distance)
+        l, r, fl, fr, lo, ro = out = _evidence_of(i, found, size)  # noqa: E741
+        hit = np.zeros(len(size), bool)
+        for a, b in ((l, r), (fl, ro), (lo, fr)):
+            hit |= a.to_numpy() + b.to_numpy() >= size
+        todo &= ~now & ~hit[i]
+        if not todo.any():
+            break
+    return dict(zip(("l", "r", "fl", "fr", "lo", "ro"), out, strict=True))
+
+
 def chimera_evidence(children: DataFrame, parents: DataFrame, min_fold: float, allow_one_off: bool = False, min_one_off_distance: int = 4, max_shift: int = 16, gapless: bool = False) -> DataFrame:
     """(sample, seq, n_parents, l, r, chimeric): what the best parent covers of a child from either side, and whether a left part of one parent and a right part of another make it up. Children without a parent have no row.
 
@@ -84,32 +146,39 @@ def chimera_evidence(children: DataFrame, parents: DataFrame, min_fold: float, a
     allow_one_off one difference may be stepped over, in parents with at least min_one_off_distance differences.
 
     First each pair gets a bound of what any alignment could cover (``most_covered``): a child whose bounds don't add up
-    to its length is no chimera, and of the others only the pairs that could fill up the best of the rest are aligned (all,
-    with allow_one_off). l and r are those of the aligned pairs, 0 where none was. gapless: sequences are laid on one
-    another as they are.
+    to its length is no chimera, and of the others only the pairs that could fill up the best of the rest are aligned. With
+    allow_one_off the same holds of all three sums (``most_covered_one_off``), and pairs of a child are left out once aligned
+    ones have made it a chimera. l and r are those of the aligned pairs, 0 where none was. gapless: sequences are laid on
+    one another as they are.
     """
-    shape = [F.lit(0).alias("ul"), F.lit(0).alias("ur")]
+    names = ONE_OFF if allow_one_off else ("ul", "ur")
+    shape = [F.lit(0).alias(x) for x in names]
     parents = parents.select("sample", "seq", "abundance", *shape)
-    schema = "sample string, seq string, n_parents long, ul long, ur long"
+    schema = "sample string, seq string, n_parents long, " + ", ".join(f"{x} long" for x in names)
 
     def bound(c: pa.Table, p: pa.Table) -> pa.Table:
         i, j = _eligible(c, p, min_fold)
         seqs, others = c.column("seq").to_pylist(), p.column("seq").to_pylist()
         size = np.array([len(s) for s in seqs], np.int64)
+        counts = np.bincount(i, minlength=len(size))
         if allow_one_off:
-            left = right = size[i]
-        else:
-            left, right = (np.concatenate(v) for v in zip(*([np.zeros(0, np.int64)] * 2, *(A.most_covered(seqs, others, i[k : k + 20_000], j[k : k + 20_000], max_shift, gapless) for k in range(0, len(i), 20_000))), strict=True))
+            most = _one_off_bounds(seqs, others, i, j, max_shift, min_one_off_distance)
+            out = pa.table({"sample": c.column("sample"), "seq": c.column("seq"), "n_parents": pa.array(counts)} | {x: _best(i, v, np.ones(len(i), bool), len(size)) for x, v in most.items()})
+            return out.filter(pa.array(counts > 0))
+        left, right = (np.concatenate(v) for v in zip(*([np.zeros(0, np.int64)] * 2, *(A.most_covered(seqs, others, i[k : k + 20_000], j[k : k + 20_000], max_shift, gapless) for k in range(0, len(i), 20_000))), strict=True))
         use = left + right < size[i] if gapless else np.ones(len(i), bool)
-        out = pa.table({"sample": c.column("sample"), "seq": c.column("seq"), "n_parents": pa.array(np.bincount(i, minlength=len(size))), "ul": _best(i, left, use, len(size)), "ur": _best(i, right, use, len(size))})
-        return out.filter(pa.array(np.bincount(i, minlength=len(size)) > 0))
+        out = pa.table({"sample": c.column("sample"), "seq": c.column("seq"), "n_parents": pa.array(counts), "ul": _best(i, left, use, len(size)), "ur": _best(i, right, use, len(size))})
+        return out.filter(pa.array(counts > 0))
 
     bounds = _in_blocks(children.select("sample", "seq", "abundance", *shape), parents, bound, schema)
-    bounds = write_table(bounds.groupBy("sample", "seq").agg(F.sum("n_parents").alias("n_parents"), F.max("ul").alias("ul"), F.max("ur").alias("ur")), "chimera-bounds")
+    bounds = write_table(bounds.groupBy("sample", "seq").agg(F.sum("n_parents").alias("n_parents"), *[F.max(x).alias(x) for x in names]), "chimera-bounds")
     n = F.length("seq")
     if gapless:
         return bounds.select("sample", "seq", "n_parents", F.col("ul").cast("int").alias("l"), F.col("ur").cast("int").alias("r"), (F.col("ul") + F.col("ur") >= n).alias("chimeric"))
-    open_ = children.select("sample", "seq", "abundance").join(bounds.where(F.col("ul") + F.col("ur") >= n).drop("n_parents"), ["sample", "seq"])
+    may = F.col("ul") + F.col("ur") >= n
+    if allow_one_off:
+        may |= (F.col("ufl") + F.col("uro") >= n) | (F.col("ulo") + F.col("ufr") >= n)
+    open_ = children.select("sample", "seq", "abundance").join(bounds.where(may).drop("n_parents"), ["sample", "seq"])
     covers = ("l", "r", "fl", "fr", "lo", "ro")
 
     def measure(c: pa.Table, p: pa.Table) -> pa.Table:
@@ -124,18 +193,10 @@ def chimera_evidence(children: DataFrame, parents: DataFrame, min_fold: float, a
                 left, right = A.most_covered(seqs, others, a, b, max_shift)
                 keep[k : k + 20_000] = (left + ur[a] >= size[a]) | (right + ul[a] >= size[a])
             i, j = i[keep], j[keep]
-        found = np.zeros((len(i), 5), np.int64)
-        for k in range(0, len(i), 4096):
-            als = A.align([seqs[x] for x in i[k : k + 4096]], [others[x] for x in j[k : k + 4096]], band=max_shift, **SCORES)
-            for at, al in enumerate(als, k):
-                found[at, :4] = A.coverage(al, allow_one_off, max_shift)
-                found[at, 4] = allow_one_off and sum(A.evaluate(al)[1:]) >= min_one_off_distance
-        use = found[:, 0] + found[:, 1] < size[i]
-        far = use & (found[:, 4] > 0)
-        cols = {"sample": c.column("sample"), "seq": c.column("seq")}
-        for name, at, on in zip(covers, (0, 1, 0, 1, 2, 3), (use, use, far, far, far, far), strict=True):
-            cols[name] = _best(i, found[:, at], on, len(size))
-        return pa.table(cols)
+        if allow_one_off:
+            return pa.table({"sample": c.column("sample"), "seq": c.column("seq")} | _measure_one_off(seqs, others, i, j, {x: c.column(x).to_numpy() for x in names}, max_shift, min_one_off_distance))
+        found = _coverages(seqs, others, i, j, False, max_shift, min_one_off_distance)
+        return pa.table({"sample": c.column("sample"), "seq": c.column("seq")} | dict(zip(covers, _evidence_of(i, found, size), strict=True)))
 
     near = _in_blocks(open_, parents, measure, "sample string, seq string, " + ", ".join(f"{c} long" for c in covers))
     best = near.groupBy("sample", "seq").agg(*[F.max(c).alias(c) for c in covers])

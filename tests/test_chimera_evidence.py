@@ -114,3 +114,38 @@ def test_empty_tables(spark):
     t = spark.createDataFrame([], "sample string, seq string, abundance long")
     assert chimera.chimera_evidence(t, t, 2).count() == 0
     assert chimera.chimeras_denovo(t.select("seq", "abundance")).count() == 0
+
+
+def test_one_off_bounds_hold():
+    rng = random.Random(10)
+    seqs = ["".join(rng.choices("ACGT", k=rng.randint(20, 70))) for _ in range(20)]
+    for s in list(seqs):
+        t = list(s)
+        for _ in range(rng.randint(1, 5)):
+            k, kind = rng.randrange(len(t)), rng.randrange(3)
+            t[k : k + (kind > 0)] = [] if kind == 2 else [rng.choice("ACGTN")]
+        seqs += ["".join(t)[rng.choice((0, 0, 3, 17)) :], s[rng.randint(0, 20) :] + "".join(rng.choices("ACGT", k=rng.randint(0, 20)))]
+    seqs += ["ACGT", "A" * 63, "A" * 64, "A" * 65]
+    bounds = A.most_covered_one_off(seqs, seqs, 16, 4)
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(len(seqs)), np.arange(len(seqs))))
+    for p, q, al in zip(i, j, A.align([seqs[x] for x in i], [seqs[x] for x in j], band=16, **chimera.SCORES), strict=True):
+        assert all(x <= b[p, q] for x, b in zip(A.coverage(al, True), bounds, strict=False)), al
+        assert bounds[4][p, q] or sum(A.evaluate(al)[1:]) < 4, al
+
+
+def test_one_off_aligns_few_pairs(monkeypatch):
+    """Parents that differ in one letter, or in nearly all, can't make up a child of which they leave the middle."""
+    rng = random.Random(11)
+    base = "".join(rng.choices("ACGT", k=90))
+    others = [base[:k] + "N" + base[k + 1 :] for k in range(0, 90, 3)] + ["".join(rng.choices("ACGT", k=90)) for _ in range(30)]
+    seqs = [base[:40] + "".join(rng.choices("ACGT", k=10)) + base[50:], others[40][:45] + others[50][45:]]
+    aligned = []
+    run = A.align
+    monkeypatch.setattr(A, "align", lambda a, b, **how: aligned.extend(a) or run(a, b, **how))
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(2), np.arange(len(others)), indexing="ij"))
+    mine = chimera._one_off_bounds(seqs, others, i, j, 16, 4)
+    most = {x: np.array([v[i == k].max() for k in range(2)]) for x, v in mine.items()}
+    out = chimera._measure_one_off(seqs, others, i, j, most, 16, 4)
+    l, r = (out[x].to_pylist() for x in ("l", "r"))
+    assert l[0] + r[0] < 90 <= l[1] + r[1] and seqs[0] not in aligned and 0 < len(aligned) < 15
+    assert [chimera.is_bimera(s, others, True) for s in seqs] == [False, True]
